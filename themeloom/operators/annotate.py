@@ -21,7 +21,7 @@ WORD = re.compile(r"[^\W\d_]{4,}")
 
 def extractive(row: dict) -> str:
     """Default annotator: repeats what the quotes say, deterministically."""
-    quotes = row["quotes"]
+    quotes = list(row["quotes"])
     words = Counter(w for q in quotes for w in set(WORD.findall(q["text"].lower())))
     terms = [w for w, _ in sorted(words.items(), key=lambda item: (-item[1], item[0]))[:3]]
     ratings = [q["rating"] for q in quotes if q["rating"] is not None and q["rating"] == q["rating"]]

@@ -90,6 +90,29 @@ def _chunks(table: DataFrame, key: str, vector: str, dim_bytes: int | None = Non
         yield pdf[key].to_numpy(), np.stack(pdf[vector].to_numpy()).astype(np.float64)
 
 
+def _best_of(ids: np.ndarray, matrix: np.ndarray):
+    """Running arg-max of the cosine over one piece of the centroid table."""
+
+    @F.pandas_udf("best_id int, best_cos double")
+    def best(vectors: pd.Series, known_id: pd.Series, known_cos: pd.Series) -> pd.DataFrame:
+        keep = vectors.notna().to_numpy()
+        new_id = known_id.astype("float64").to_numpy(copy=True)
+        new_cos = known_cos.astype("float64").to_numpy(copy=True)
+        if keep.any():
+            cos = np.stack(vectors[keep].to_numpy()).astype(np.float64) @ matrix.T
+            # Equal up to the last bits counts as a tie: the lowest id wins.
+            pick = (cos >= cos.max(axis=1, keepdims=True) - 1e-12).argmax(axis=1)
+            top = cos[np.arange(len(pick)), pick]
+            rows = np.flatnonzero(keep)
+            better = np.isnan(new_cos[rows]) | (top > new_cos[rows] + 1e-12)
+            better |= (np.abs(top - new_cos[rows]) <= 1e-12) & (ids[pick] < new_id[rows])
+            new_id[rows[better]] = ids[pick[better]]
+            new_cos[rows[better]] = top[better]
+        return pd.DataFrame({"best_id": pd.array(new_id, dtype="Float64").astype("Int32"), "best_cos": new_cos})
+
+    return best
+
+
 def nearest_centroid(df: DataFrame, cents: DataFrame, vector: str = "embedding") -> DataFrame:
     """Adds ``best_id`` and ``best_cos``: exact cosine arg-max, lowest id on ties.
 
@@ -99,24 +122,7 @@ def nearest_centroid(df: DataFrame, cents: DataFrame, vector: str = "embedding")
     table = stage(cents.select("cluster_id", "centroid"), "centroids")
     out = df.withColumn("best_id", F.lit(None).cast("int")).withColumn("best_cos", F.lit(None).cast("double"))
     for ids, matrix in _chunks(table, "cluster_id", "centroid"):
-
-        @F.pandas_udf("best_id int, best_cos double")
-        def best(vectors: pd.Series, known_id: pd.Series, known_cos: pd.Series, ids=ids, matrix=matrix) -> pd.DataFrame:
-            keep = vectors.notna().to_numpy()
-            new_id = known_id.astype("float64").to_numpy(copy=True)
-            new_cos = known_cos.astype("float64").to_numpy(copy=True)
-            if keep.any():
-                cos = np.stack(vectors[keep].to_numpy()).astype(np.float64) @ matrix.T
-                # Equal up to the last bits counts as a tie: the lowest id wins.
-                pick = (cos >= cos.max(axis=1, keepdims=True) - 1e-12).argmax(axis=1)
-                top = cos[np.arange(len(pick)), pick]
-                rows = np.flatnonzero(keep)
-                better = np.isnan(new_cos[rows]) | (top > new_cos[rows] + 1e-12)
-                better |= (np.abs(top - new_cos[rows]) <= 1e-12) & (ids[pick] < new_id[rows])
-                new_id[rows[better]] = ids[pick[better]]
-                new_cos[rows[better]] = top[better]
-            return pd.DataFrame({"best_id": pd.array(new_id, dtype="Float64").astype("Int32"), "best_cos": new_cos})
-
+        best = _best_of(ids, matrix)
         out = out.withColumn("_b", best(vector, "best_id", "best_cos")).withColumn(
             "best_id", F.col("_b.best_id")
         ).withColumn("best_cos", F.when(~F.isnan("_b.best_cos"), F.col("_b.best_cos"))).drop("_b")

@@ -106,7 +106,7 @@ def month_by_source(df: DataFrame, sources: list[str], fmt: str = "yyyy-MM") ->
         df.filter(F.col("timestamp").isNotNull())
         .groupBy(F.date_format("timestamp", fmt).alias("month"))
         .pivot("source", sources)
-        .agg(F.count("*"))
+        .agg(F.count(F.lit(1)))
         .orderBy("month")
     )
 

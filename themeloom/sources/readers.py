@@ -47,6 +47,15 @@ def list_files(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals rows out when a scan has fewer partitions than the cluster has cores.
+
+    Large tables already have more and are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_corpus(spark: SparkSession, path: str, workspace: str | None = None) -> DataFrame:
     """The persisted corpus; a workspace name prunes to its partition."""
     df = spark.read.parquet(path)
