@@ -41,15 +41,16 @@ DAMPENERS = [
 ]
 
 
-def tokens(text: Column) -> Column:
-    """Blank-separated words without leading and trailing punctuation."""
-    words = F.split(text, " ")
-    bare = F.transform(words, lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
-    return F.filter(bare, lambda w: w != "")
+EDGES = r"(?<=^| )[^\p{L}\p{N} ]+|[^\p{L}\p{N} ]+(?= |$)"
 
 
-def _plain(word: Column) -> Column:
-    return F.replace(F.lower(word), F.lit("'"), F.lit(""))
+def bare_words(text: Column) -> Column:
+    """Words without leading and trailing punctuation, parted by one blank.
+
+    ``text`` is cleaned, so blanks are its only white space; working on the whole
+    string is one regex pass instead of one per word.
+    """
+    return F.trim(F.regexp_replace(F.regexp_replace(text, EDGES, ""), " +", " "))
 
 
 def _shout(word: Column) -> Column:
@@ -64,26 +65,30 @@ def score_tokens(df: DataFrame, lexicon: DataFrame, text_col: str = "text_clean"
     words are shuffled with adaptive skew handling.
     """
     text = F.col(text_col)
-    toks = F.col("toks")
-    size = F.size(toks)
     base = (
         df.select(
-            F.col(key), tokens(text).alias("toks"),
+            F.col(key), bare_words(text).alias("bare"),
             F.least(F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit(""))), F.lit(4)).alias("bangs"),
             (F.length(text) - F.length(F.replace(text, F.lit("?"), F.lit("")))).alias("asks"),
         )
-        .withColumn("low", F.transform("toks", _plain))
+        .withColumn("toks", F.split("bare", " "))
+        .withColumn("low", F.split(F.replace(F.lower("bare"), F.lit("'"), F.lit("")), " "))
         .withColumn("but_at", F.array_position("low", F.lit("but")))
-        .withColumn("n_shout", F.size(F.filter("toks", _shout)))
-        .withColumn("mixed", (F.col("n_shout") > 0) & (F.col("n_shout") < size))
+        # A capital word stands out only among words that are not capital.
+        .withColumn("mixed", F.exists("toks", lambda w: ~_shout(w)))
+    )
+    # Each word takes its context along before the explode: exploding next to the
+    # whole word list would copy the list once per word.
+    context = F.transform(
+        "low",
+        lambda w, i: F.struct(
+            w.alias("word"), i.alias("i"),
+            *[F.get("low", i - d).alias(f"p{d}") for d in (1, 2, 3)],
+            (F.col("mixed") & _shout(F.get("toks", i))).alias("loud"),
+        ),
     )
-    before = [F.get("low", F.col("i") - d).alias(f"p{d}") for d in (1, 2, 3)]
     hits = (
-        base.select("*", F.posexplode("low").alias("i", "word"))
-        .select(
-            key, "bangs", "asks", "word", "but_at", "i", *before,
-            (F.col("mixed") & _shout(F.get("toks", F.col("i")))).alias("loud"),
-        )
+        base.select(key, "bangs", "asks", "but_at", F.inline(context))
         .join(lexicon.select("word", F.col("valence").cast("double").alias("v")), "word")
     )
     sign = F.signum("v")
