@@ -84,15 +84,15 @@ def score_tokens(df: DataFrame, lexicon: DataFrame, text_col: str = "text_clean"
         lambda w, i: F.struct(
             w.alias("word"), i.alias("i"),
             *[F.get("low", i - d).alias(f"p{d}") for d in (1, 2, 3)],
-            (F.col("mixed") & _shout(F.get("toks", i))).alias("loud"),
+            F.get("toks", i).alias("as_written"),
         ),
     )
     hits = (
-        base.select(key, "bangs", "asks", "but_at", F.inline(context))
+        base.select(key, "bangs", "asks", "but_at", "mixed", F.inline(context))
         .join(lexicon.select("word", F.col("valence").cast("double").alias("v")), "word")
     )
     sign = F.signum("v")
-    value = F.col("v") + F.when(F.col("loud"), sign * CAPS).otherwise(0.0)
+    value = F.col("v") + F.when(F.col("mixed") & _shout(F.col("as_written")), sign * CAPS).otherwise(0.0)
     for d, fade in zip((1, 2, 3), FADE):
         p = F.col(f"p{d}")
         boost = F.when(p.isin(AMPLIFIERS), BOOST).when(p.isin(DAMPENERS), -BOOST).otherwise(0.0)

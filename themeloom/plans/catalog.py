@@ -401,7 +401,7 @@ def cluster_summary(spark, sf):
 
 
 def _scored(spark, sf):
-    rows = stage(tables.signals(spark, sf).drop("text"), "signals")
+    rows = tables.signals(spark, sf)
     severity = rows.filter(F.col("cluster_id") != NOISE).select("cluster_id").distinct().withColumn(
         "severity", F.col("cluster_id") % 5 + 1
     )
@@ -502,7 +502,7 @@ def prompt_blocks(spark, sf):
 
 
 def _prompts(spark, sf):
-    rows = stage(_quotable(spark, sf), "quotable")
+    rows = _quotable(spark, sf)
     blocks = quotes.prompt_blocks(quotes.quote_sample(quotes.quote_pool(rows)))
     return quotes.cluster_prompts(blocks, scoring.cluster_summary(rows))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from themeloom.functions.text import author_hash, item_id
 from themeloom.operators import cleaning, scoring, sentiment
+from themeloom.runtime import stage
 from themeloom.schema import NOISE
 from themeloom.sources.readers import spread
 
@@ -60,8 +61,27 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reviews.unionByName(tickets, allowMissingColumns=True).withColumn("from_noise", F.lit(False))
 
 
+_WRITTEN: dict[tuple, DataFrame] = {}
+
+
+def written(name: str, spark: SparkSession, sf_dir: str, build) -> DataFrame:
+    """A stage table of this session: built and written at first use.
+
+    Runs write the cleaned corpus and the signals between stages too; later
+    steps read only the columns they need.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = stage(build(), name)
+    return _WRITTEN[key]
+
+
 def cleaned(spark: SparkSession, sf_dir: str, min_chars: int = 15) -> DataFrame:
-    rows = cleaning.add_clean_text(feedback(spark, sf_dir))
+    """Cleaned rows of at least ``min_chars``. The text is cleaned before the
+    write and filtered after it, so its patterns run once per row."""
+    rows = written(
+        "cleaned", spark, sf_dir, lambda: cleaning.add_clean_text(feedback(spark, sf_dir))
+    )
     return cleaning.keep_clean(cleaning.tag_drops(rows, min_chars))
 
 
@@ -72,8 +92,13 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned rows (copies kept and flagged) with sentiment and source age."""
-    rows = cleaning.flag_copies(cleaned(spark, sf_dir))
-    return scoring.add_source_age(sentiment.add_sentiment(rows, lexicon(spark)))
+
+
+    def build() -> DataFrame:
+        rows = cleaning.flag_copies(cleaned(spark, sf_dir))
+        return scoring.add_source_age(sentiment.add_sentiment(rows, lexicon(spark)))
+
+    return written("signals", spark, sf_dir, build)
 
 
 def annotations(rows: DataFrame) -> DataFrame:
