@@ -87,7 +87,8 @@ def _chunks(table: DataFrame, key: str, vector: str, dim_bytes: int | None = Non
     parts = [table] if n_parts <= 1 else [table.filter(bucket == i) for i in range(n_parts)]
     for part in parts:
         pdf = part.select(key, vector).orderBy(key).toPandas()
-        yield pdf[key].to_numpy(), np.stack(pdf[vector].to_numpy()).astype(np.float64)
+        if len(pdf):
+            yield pdf[key].to_numpy(), np.stack(pdf[vector].to_numpy()).astype(np.float64)
 
 
 def _best_of(ids: np.ndarray, matrix: np.ndarray):
