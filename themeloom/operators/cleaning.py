@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.functions.text import clean_text, text_hash
 
 
 def add_clean_text(df: DataFrame) -> DataFrame:
-    return df.withColumn("text_clean", clean_text(F.col("text")))
+    """Adds ``text_clean`` and its length. Once written, a filter on ``n_chars`` is
+    pushed to the scan and the text itself is read only where it is used."""
+    return df.withColumn("text_clean", clean_text(F.col("text"))).withColumn(
+        "n_chars", F.length("text_clean")
+    )
+
+
+def keep_first(df: DataFrame, key: Column) -> DataFrame:
+    """Rows with the smallest ``seq`` (a unique row number) of their key.
+
+    Only (key, seq) goes through the aggregation, combined on the map side, so a
+    hot key costs one row per task; wide rows are then matched on ``seq``, which
+    is never hot.
+    """
+    firsts = df.groupBy(key.alias("_key")).agg(F.min("seq").alias("seq")).select("seq")
+    return df.join(firsts, "seq", "left_semi").select(*df.columns)
 
 
 def tag_drops(df: DataFrame, min_chars: int = 15, language: str | None = None) -> DataFrame:
@@ -18,7 +33,8 @@ def tag_drops(df: DataFrame, min_chars: int = 15, language: str | None = None) -
     The language rule is active only for ``language='en'`` and needs a ``lang``
     column (see operators.language); an undecided language is dropped too.
     """
-    reason = F.when(F.length("text_clean") < min_chars, "too_short")
+    length = F.col("n_chars") if "n_chars" in df.columns else F.length("text_clean")
+    reason = F.when(length < min_chars, "too_short")
     if language == "en":
         reason = reason.when(~F.col("lang").eqNullSafe(language), "wrong_language")
     return df.withColumn("drop_reason", reason)
@@ -40,16 +56,8 @@ def keep_clean(tagged: DataFrame) -> DataFrame:
 
 
 def drop_exact_copies(df: DataFrame) -> DataFrame:
-    """First row by ``seq`` of every distinct cleaned text.
-
-    min_by combines on the map side: however many copies one text has, a map
-    task sends one row for it.
-    """
-    return (
-        df.groupBy(text_hash(F.col("text_clean")).alias("text_key"))
-        .agg(F.min_by(F.struct(*df.columns), F.col("seq")).alias("row"))
-        .select("row.*")
-    )
+    """First row by ``seq`` of every distinct cleaned text."""
+    return keep_first(df, text_hash(F.col("text_clean")))
 
 
 def exact_copy_count(df: DataFrame) -> DataFrame:

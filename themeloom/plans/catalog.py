@@ -217,7 +217,7 @@ def page_urls(spark, sf):
 
 @query
 def length_filter(spark, sf):
-    return tables.cleaned(spark, sf, 30).select("id", F.length("text_clean").cast("bigint").alias("n_chars"))
+    return tables.cleaned(spark, sf, 30).select("id", F.col("n_chars").cast("bigint").alias("n_chars"))
 
 
 def _with_language(spark, sf):
@@ -522,7 +522,7 @@ def annotate_themes(spark, sf):
 @query
 def annotate_reuse(spark, sf):
     prompts = stage(_prompts(spark, sf), "prompts")
-    known = annotate.annotate(prompts.filter("n_items >= 50")).select("prompt_key", "raw")
+    known = stage(annotate.annotate(prompts.filter("n_items >= 50")).select("prompt_key", "raw"), "known")
     answers, _ = annotate.annotate_with_reuse(prompts, known)
     return answers.select("cluster_id", "cached", F.col("raw").isNotNull().alias("answered"))
 
@@ -702,7 +702,7 @@ def describe_by_source(spark, sf):
 
 @query
 def length_hist(spark, sf):
-    return explore.histogram(tables.cleaned(spark, sf), F.length("text_clean")).select(
+    return explore.histogram(tables.cleaned(spark, sf), F.col("n_chars")).select(
         F.col("bin").cast("bigint").alias("bin"), "n"
     )
 

@@ -48,8 +48,8 @@ def prepare(
     if settings.language == "en":
         if language_model is None:
             raise ValueError("language='en' needs a language model")
-        long_enough = rows.filter(F.length("text_clean") >= settings.min_text_chars)
-        short = rows.filter(F.length("text_clean") < settings.min_text_chars).withColumn("lang", F.lit(None).cast("string"))
+        long_enough = rows.filter(F.col("n_chars") >= settings.min_text_chars)
+        short = rows.filter(F.col("n_chars") < settings.min_text_chars).withColumn("lang", F.lit(None).cast("string"))
         rows = language.add_language(long_enough, language_model).unionByName(short)
     tagged = stage(cleaning.tag_drops(rows, settings.min_text_chars, settings.language), "tagged")
     stats = stage(cleaning.clean_stats(tagged), "clean-stats")
@@ -57,18 +57,27 @@ def prepare(
     if counts["output"] < settings.minimum_rows:
         raise ValueError(f"only {counts['output']} usable rows after cleaning: {counts.asDict()}")
     unique = stage(cleaning.drop_exact_copies(cleaning.keep_clean(tagged)), "unique")
-    vectors = stage(embed_fn(unique), "vectors")
-    flagged = stage(neardup.flag_dense(vectors, settings.near_dup_cosine), "near-dups") \
-        if embed_fn is not embed.tfidf else stage(neardup.flag_text(vectors, settings.near_dup_cosine), "near-dups")
+    # Vectors, flags, clusters and sentiment are narrow tables keyed by seq. The
+    # texts move once, in the final join, whose sides share that key.
+    texts = unique.select("seq", "text_clean")
+    vectors = stage(embed_fn(texts).select("seq", "embedding"), "vectors")
+    if embed_fn is embed.tfidf:
+        flags = neardup.flag_text(texts, settings.near_dup_cosine)
+    else:
+        flags = neardup.flag_dense(vectors, settings.near_dup_cosine)
     size = settings.min_cluster_size
     if settings.scale_cluster_size:
-        size = density.scaled_cluster_size(flagged.count(), size)
-    clustered = density.density_clusters(flagged, settings.components, size, settings.min_samples)
-    placed = projection.map_coordinates(stage(clustered, "clustered"))
+        size = density.scaled_cluster_size(unique.count(), size)
+    clustered = density.density_clusters(vectors, settings.components, size, settings.min_samples)
+    placed = projection.map_coordinates(stage(clustered.drop("reduced"), "clustered"))
     assigned = stage(centroids.soft_assign(placed, settings.noise_reassign_cosine), "assigned")
-    scored = scoring.add_source_age(sentiment.add_sentiment(assigned, lexicon))
-    final = centroids.add_centroid_cosine(scored, centroids.centroids(assigned))
-    return stage(final, "corpus"), stats
+    members = centroids.add_centroid_cosine(assigned, centroids.centroids(assigned))
+    scores = sentiment.score_tokens(texts, lexicon, key="seq")
+    joined = (
+        unique.join(members, "seq").join(flags.select("seq", "is_near_dup"), "seq").join(scores, "seq", "left")
+        .withColumn("sentiment", F.coalesce("sentiment", F.lit(0.0)))
+    )
+    return stage(scoring.add_source_age(joined), "corpus"), stats
 
 
 def analyse(

@@ -296,7 +296,7 @@ ORACLES: dict[str, str] = {
     "ingest_all": """
         SELECT 'play_store_review:' || doc_id AS id, doc_id AS seq, 'play_store_review' AS source, md5(text) AS text_md5 FROM documents
         UNION ALL
-        SELECT 'support_ticket:' || conv_id || '-' || turn, conv_id * 1000 + turn, 'support_ticket',
+        SELECT 'support_ticket:' || conv_id || '-' || turn, 17592186044416 + conv_id * 1000 + turn, 'support_ticket',
                md5(trim(regexp_replace('@Support_1 ' || text, '@[\\p{L}\\p{N}_]+', '', 'g'), chr(10) || chr(9) || chr(13) || ' '))
         FROM conversations WHERE role = 'user'""",
     "ingest_generic": """

@@ -96,7 +96,7 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def build() -> DataFrame:
         rows = cleaning.flag_copies(cleaned(spark, sf_dir))
-        return scoring.add_source_age(sentiment.add_sentiment(rows, lexicon(spark)))
+        return scoring.add_source_age(sentiment.add_sentiment(rows, lexicon(spark), key="seq"))
 
     return written("signals", spark, sf_dir, build)
 

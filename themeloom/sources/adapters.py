@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.functions import coerce, text
+from themeloom.operators.cleaning import keep_first
 from themeloom.operators.sampling import fixed_sample
 from themeloom.schema import UNIFIED
 
@@ -25,6 +26,7 @@ ID_COLUMNS = ["review_id", "reviewId", "id"]
 AUTHOR_COLUMNS = ["pseudo_author_id", "author_name", "userName", "user_name"]
 UPLOAD_TEXT_COLUMNS = TEXT_COLUMNS + ["feedback", "comment", "message", "body", "answer"]
 UPLOAD_TIME_COLUMNS = TIME_COLUMNS + ["date", "created_at", "Date"]
+SOURCE_SPAN = 1 << 44
 TICKET_COLUMNS = {"tweet_id", "author_id", "created_at", "text"}
 
 
@@ -154,16 +156,13 @@ ADAPTERS: dict[str, Callable[..., DataFrame]] = {
 def combine(frames: list[DataFrame]) -> DataFrame:
     """Union of sources, one row per id; an earlier source or row wins.
 
-    The winner is found by a combinable minimum, so copies of a hot id collapse
-    before the shuffle.
+    ``seq`` is unique inside a source and below 2^44; the source number is put
+    above it, so it is the row order of the concatenated sources.
     """
     if not frames:
         raise ValueError("no feedback source given")
-    tagged = [frame.withColumn("_source_no", F.lit(i)) for i, frame in enumerate(frames)]
-    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
-    rest = [c for c in union.columns if c != "_source_no"]
-    return (
-        union.groupBy("id")
-        .agg(F.min_by(F.struct(*rest), F.struct("_source_no", "seq")).alias("row"))
-        .select("row.*")
-    )
+    ordered = [
+        frame.withColumn("seq", F.col("seq") + F.lit(i * SOURCE_SPAN)) for i, frame in enumerate(frames)
+    ]
+    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ordered)
+    return keep_first(union, F.col("id"))
