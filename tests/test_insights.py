@@ -162,7 +162,13 @@ def test_whole_flow(spark, tiny, tmp_path):
     found = insights.collect()
     assert found and all(i.citation_check_passed for i in found)
     assert all(i.confidence.n_items >= 4 for i in found)
-    sinks.write_report(report.report_blocks(insights), str(tmp_path / "report"))
+    meta = flow.run_record(stats, corpus, flow.FlowSettings(), "2024-01-01", 1.25, insights).head()
+    assert meta.clean.output == stats.head().output and meta.clusters_analysed == len(found)
+    assert json.loads(meta.config)["score"]["half_life_days"] == 90.0
+    summary = report.fallback_summary(insights)
+    header = report.report_header(summary, corpus.count(), "2024-01-01")
+    assert f"from {corpus.count()} feedback items_" in header.head().block
+    sinks.write_report(header.unionByName(report.report_blocks(insights)), str(tmp_path / "report"))
     sinks.write_insights(insights, str(tmp_path / "insights"))
     assert spark.read.text(str(tmp_path / "report")).filter("value like '## 1. %'").count() == 1
     with pytest.raises(ValueError, match="usable rows"):

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
@@ -80,6 +81,25 @@ def prepare(
     return stage(scoring.add_source_age(joined), "corpus"), stats
 
 
+def run_record(
+    stats: DataFrame, corpus: DataFrame, settings: FlowSettings, started_at: str, seconds: float,
+    insights: DataFrame | None = None,
+) -> DataFrame:
+    """One row: start, duration, settings as JSON, and the counts of every stage."""
+    noise = scoring.noise_stats(corpus)
+    flagged = corpus.agg(F.count_if("is_near_dup").alias("n")).scalar()
+    n_insights = F.lit(0).cast("bigint") if insights is None else insights.agg(F.count("*").alias("n")).scalar()
+    return stats.select(
+        F.lit(started_at).alias("started_at"),
+        F.lit(round(seconds, 1)).alias("duration_s"),
+        F.lit(json.dumps(asdict(settings))).alias("config"),
+        F.struct("*").alias("clean"),
+        flagged.alias("near_dups_flagged"),
+        noise.select(F.struct("*")).scalar().alias("clustering"),
+        n_insights.alias("clusters_analysed"),
+    )
+
+
 def analyse(
     corpus: DataFrame, answers: DataFrame | None = None, settings: FlowSettings = FlowSettings(),
     known: DataFrame | None = None, annotator: Callable[[dict], str] = annotate.extractive,

@@ -341,6 +341,16 @@ ORACLES: dict[str, str] = {
     "near_dups": """
         SELECT vec_id AS seq, EXISTS (SELECT 1 FROM embeddings a WHERE a.vec_id < b.vec_id
                AND list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.4) AS is_near_dup FROM embeddings b""",
+    "near_dups_text": _q(BASE, r"""
+        , uniq AS (SELECT seq, text_clean FROM cl QUALIFY row_number() OVER (PARTITION BY """ + TEXT_KEY + r""" ORDER BY seq) = 1),
+        tf AS (SELECT seq, w, count(*) AS n FROM (
+                 SELECT seq, unnest(regexp_split_to_array(lower(text_clean), '[^\p{L}\p{N}]+')) AS w FROM uniq)
+               WHERE w <> '' GROUP BY seq, w),
+        tw AS (SELECT seq, w, n * ln(((SELECT count(*) FROM uniq) + 1.0) / (count(*) OVER (PARTITION BY w) + 1.0)) AS x FROM tf),
+        un AS (SELECT seq, w, x / sqrt(sum(x * x) OVER (PARTITION BY seq)) AS x FROM tw),
+        near AS (SELECT b.seq FROM un a JOIN un b ON a.w = b.w AND a.seq < b.seq
+                 GROUP BY a.seq, b.seq HAVING sum(a.x * b.x) > 0.92)
+        SELECT seq, seq IN (SELECT seq FROM near) AS is_near_dup FROM uniq"""),
     "vector_reuse": _q(BASE, """
         SELECT k AS vector_key, bool_or(labelled) AS known FROM (
           SELECT sha256(concat_ws(chr(31), 'tfidf-1024', text_clean)) AS k,
