@@ -402,9 +402,7 @@ def cluster_summary(spark, sf):
 
 def _scored(spark, sf):
     rows = tables.signals(spark, sf)
-    severity = rows.filter(F.col("cluster_id") != NOISE).select("cluster_id").distinct().withColumn(
-        "severity", F.col("cluster_id") % 5 + 1
-    )
+    severity = scoring.top_clusters(rows).withColumn("severity", F.col("cluster_id") % 5 + 1)
     return scoring.score_clusters(rows, severity, centroids.cohesion(rows))
 
 

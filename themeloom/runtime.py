@@ -51,6 +51,15 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def task_count(spark: SparkSession, n_rows: int, rows_per_task: int) -> int:
+    """Partitions for compute-heavy blocks that are few bytes: adaptive coalescing
+    would undo their split, so the number is fixed, between the core count and the
+    session's shuffle partitions."""
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cores = spark.sparkContext.defaultParallelism
+    return max(1, min(most, max(cores, n_rows // rows_per_task)))
+
+
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and return the frame that reads it."""
     spark = df.sparkSession
