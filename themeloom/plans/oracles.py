@@ -525,3 +525,9 @@ ORACLES: dict[str, str] = {
                || (SELECT count(*) FROM ins) || ' analyzed themes.', 'Executive summary: ' || f.summary, '', 'Ranked themes (by priority score 0-1):', b.block], chr(10)) AS context
         FROM b, totals t, fall f"""),
 }
+
+ORACLES["cluster_eval"] = f"""
+    SELECT 'clusters' AS metric, (SELECT count(DISTINCT label) FROM embeddings)::DOUBLE AS value
+    UNION ALL SELECT 'silhouette', (SELECT silhouette FROM ({ORACLES['silhouette']}))
+    UNION ALL SELECT 'davies_bouldin', (SELECT davies_bouldin FROM ({ORACLES['davies_bouldin']}))
+    UNION ALL SELECT 'noise_share', (SELECT avg(CASE WHEN label = -1 THEN 1.0 ELSE 0.0 END) FROM embeddings)"""
