@@ -56,11 +56,11 @@ def count_grams(docs: DataFrame, trusted: DataFrame, settings: QualitySettings)
     """bucket, raw, good: n-gram counts of all documents and of the trusted ones.
 
     ``trusted`` holds distinct ``doc_id``; tasks add up their buckets before the
-    shuffle, which carries at most ``buckets`` rows for each task.
+    shuffle, which carries at most ``buckets`` rows for each task. The trusted ids grow
+    with the documents, so they are merged with them and never broadcast.
     """
-    marked = docs.select("doc_id", "text").join(
-        trusted.select("doc_id").distinct().withColumn("_good", F.lit(True)), "doc_id", "left"
-    )
+    chosen = trusted.select("doc_id").distinct().withColumn("_good", F.lit(True))
+    marked = docs.select("doc_id", "text").join(chosen.hint("merge"), "doc_id", "left")
     buckets = settings.buckets
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -130,13 +130,18 @@ def words_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.flatnonzero(inside & before), np.flatnonzero(inside & after) + 1
 
 
-def pieces(texts: pa.Array, limit: int = PIECE) -> Iterator[Piece]:
-    """The documents of a column in pieces of about ``limit`` bytes, in order."""
+def pieces(texts: pa.Array, limit: int = PIECE, lower: bool = False) -> Iterator[Piece]:
+    """The documents of a column in pieces of about ``limit`` bytes, in order;
+    ``lower`` turns A to Z into a to z first."""
     data, offsets = buffers(texts)
+    small = np.arange(256, dtype=np.uint8)
+    small[65:91] += 32
     at, n = 0, len(offsets) - 1
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
         part = data[offsets[at] : offsets[to]]
+        if lower:
+            part = small[part]
         bounds = offsets[at : to + 1] - offsets[at]
         starts, ends = words_of(part, bounds)
         yield Piece(
