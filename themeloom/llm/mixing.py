@@ -151,11 +151,11 @@ def probabilities(fitted: DataFrame, settings: MixSettings) -> DataFrame:
     """``fitted`` with ``probability``: the weight ratio times the constant for which
     the expected tokens meet the budget, at most 1."""
     total, least = fitted.agg(
-        F.sum("tokens"), F.min(F.when((F.col("tokens") > 0) & (F.col("weight") > 0), F.col("weight") / F.col("tokens")))
+        F.sum("tokens"), F.min(F.when(F.col("weight") > 0, F.try_divide("weight", "tokens")))
     ).first()
     if not total or not least:
         return fitted.withColumn("probability", F.lit(1.0))
-    ratio = F.col("weight") / F.col("tokens")
+    ratio = F.try_divide("weight", "tokens")
     low, high = 0.0, 1.0 / least
     for _ in range(5):  # each round narrows the interval 32 times
         grid = [low + (high - low) * i / 32 for i in range(1, 32)]
@@ -175,7 +175,7 @@ def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, setting
     cells = stage(cells_of(rows), "cells")
     fitted = rake(cells, targets or flat_targets(cells, settings.flatten), settings)
     chances = stage(probabilities(fitted, settings), "chances").select(
-        *[F.col(m).alias(f"_{m}") for m in MARGINS], (F.col("weight") / F.col("tokens")).alias("_each"), "probability"
+        *[F.col(m).alias(f"_{m}") for m in MARGINS], F.try_divide("weight", "tokens").alias("_each"), "probability"
     )
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(settings.seed), "doc_id"), 11) / F.lit(float(1 << 53))
     on = [_key(m) == F.col(f"_{m}") for m in MARGINS]
