@@ -35,11 +35,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.llm.components import components
+from themeloom.llm.lookups import likely
 from themeloom.llm.words import Piece, chunk, column, grams, mix, pieces
 from themeloom.runtime import stage
 
 #: Common prefix tokens that a pair needs (fewer when its overlap is smaller).
-SHARED = 3
+SHARED = 12
 ROWS = "doc_id long, n_shingles long, set_key binary, prefix array<long>"
 
 
@@ -166,7 +167,8 @@ def _candidates(pairs: DataFrame, percent: int) -> DataFrame:
     return shared.filter(F.col("count") >= enough).drop("count")
 
 
-_PAIR = [F.col("s.sid").alias("x"), F.col("l.sid").alias("y"), F.col("s.n").alias("nx"), F.col("l.n").alias("ny")]
+def _pair() -> list[Column]:
+    return [F.col("s.sid").alias("x"), F.col("l.sid").alias("y"), F.col("s.n").alias("nx"), F.col("l.n").alias("ny")]
 
 
 def leader_pairs(lists: DataFrame, percent: int) -> DataFrame:
@@ -175,7 +177,7 @@ def leader_pairs(lists: DataFrame, percent: int) -> DataFrame:
     banded = lists.withColumn("band", band)
     leaders = banded.filter("indexed").groupBy("token", "band").agg(F.min(F.struct("n", "sid", "pos")).alias("m"))
     pairs = banded.alias("l").join(leaders.select("token", "band", "m.*").alias("s"), ["token", "band"])
-    return _candidates(pairs.filter(F.col("s.sid") != F.col("l.sid")).filter(_fits("s", "l", percent)).select(*_PAIR), percent)
+    return _candidates(pairs.filter(F.col("s.sid") != F.col("l.sid")).filter(_fits("s", "l", percent)).select(*_pair()), percent)
 
 
 def other_pairs(lists: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
@@ -187,7 +189,7 @@ def other_pairs(lists: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     small, large = open_.filter("indexed").alias("s"), open_.alias("l")
     ordered = (F.col("s.n") < F.col("l.n")) | ((F.col("s.n") == F.col("l.n")) & (F.col("s.sid") < F.col("l.sid")))
     on = (F.col("s.token") == F.col("l.token")) & (F.col("s.root") != F.col("l.root")) & ordered & _fits("s", "l", percent)
-    return _candidates(small.join(large, on).select(*_PAIR), percent)
+    return _candidates(small.join(large, on).select(*_pair()), percent)
 
 
 def derive(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
@@ -210,42 +212,47 @@ def derive(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return pairs.join(answered, ["x", "y"], "left")
 
 
-def sets_in_lists(lists: DataFrame, docs: DataFrame, members: DataFrame, settings: JaccardSettings) -> DataFrame:
-    """sid, tokens of every set that shares enough prefix tokens with others to be in a
-    pair at all, made again from the texts of their representatives."""
+def sets_of_members(docs: DataFrame, wanted: DataFrame, settings: JaccardSettings) -> DataFrame:
+    """sid, tokens of the sets in ``wanted`` (sid, doc_id, set_key), made again from the
+    texts of their representatives. A text under an id that repeats is told from the
+    others by the digest of its set."""
     n = settings.words
-    enough = F.least(F.lit(SHARED), _least(F.col("n"), F.col("n"), settings.percent))
-    wanted = lists.groupBy("sid", "n").count().filter(F.col("count") >= enough).select("sid")
-    wanted = stage(members.join(wanted, "sid").select("sid", "doc_id", "set_key"), "sets-wanted")
-    ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[int] = set()  # rows that repeat id and text are neighbours after the join
         for batch in batches:
+            sids, keys = column(batch, "sid").to_pylist(), column(batch, "set_key").to_pylist()
             for piece in pieces(column(batch, "text"), lower=True):
                 shingles, bounds = sets_of(piece, n)
-                keys = [_key(shingles[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                tokens = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(shingles.view(np.int64)))
+                kept, tokens = [], []
+                for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True), piece.first):
+                    if sids[i] not in given and _key(shingles[a:b]) == keys[i]:
+                        given.add(sids[i])
+                        kept.append(sids[i])
+                        tokens.append(shingles[a:b].view(np.int64))
+                ends = np.append(0, np.cumsum([len(t) for t in tokens])).astype(np.int32)
+                flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [chunk(batch, "doc_id", piece), pa.array(keys, pa.binary()), tokens], ["doc_id", "set_key", "tokens"]
+                    [pa.array(kept, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["sid", "tokens"]
                 )
 
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    texts = texts.join(ids.hint("merge"), texts.doc_id.eqNullSafe(ids._id), "left_semi")
-    built = texts.mapInArrow(build, "doc_id long, set_key binary, tokens array<long>")
-    made = built.alias("m").join(
-        wanted.alias("w"), F.col("m.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("m.set_key") == F.col("w.set_key"))
-    )
-    return stage(made.select("w.sid", "m.tokens").dropDuplicates(["sid"]), "sets")
+    texts = likely(docs.select(F.col("doc_id").cast("long"), "text"), wanted)
+    keyed = wanted.select(F.col("doc_id").alias("_id"), "sid", "set_key").hint("merge")
+    both = texts.join(keyed, texts.doc_id.eqNullSafe(keyed._id)).select("text", "sid", "set_key")
+    return both.mapInArrow(build, "sid long, tokens array<long>")
 
 
-def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """x, y, nx, ny, gap (symmetric difference) of ``pairs``."""
-    both = (
-        pairs.join(sets.select(F.col("sid").alias("x"), F.col("tokens").alias("tx")), "x")
-        .join(sets.select(F.col("sid").alias("y"), F.col("tokens").alias("ty")), "y")
-    )
+def compare(pairs: DataFrame, docs: DataFrame, members: DataFrame, settings: JaccardSettings) -> DataFrame:
+    """x, y, nx, ny, gap (symmetric difference) of ``pairs``. Only the larger set of a
+    pair travels with it; both sides grow with the data, so nothing is broadcast."""
+    sids = pairs.select(F.col("x").alias("sid")).union(pairs.select("y")).distinct()
+    wanted = stage(members.select("sid", "doc_id", "set_key").join(sids.hint("merge"), "sid"), "sets-wanted")
+    sets = sets_of_members(docs, wanted, settings)
+    with_y = sets.select(F.col("sid").alias("y"), F.col("tokens").alias("ty")).hint("merge").join(pairs.hint("merge"), "y")
+    both = sets.select(F.col("sid").alias("x"), F.col("tokens").alias("tx")).hint("merge").join(with_y, "x")
     common = F.size(F.array_intersect("tx", "ty")).cast("long")
-    return both.select("x", "y", "nx", "ny", (F.col("nx") + F.col("ny") - 2 * common).alias("gap"))
+    found = both.select("x", "y", "nx", "ny", (F.col("nx") + F.col("ny") - 2 * common).alias("gap"))
+    return found.distinct()
 
 
 def links(docs: DataFrame, members: DataFrame, settings: JaccardSettings) -> DataFrame:
@@ -253,14 +260,14 @@ def links(docs: DataFrame, members: DataFrame, settings: JaccardSettings) -> Dat
     percent = settings.percent
     lists = stage(postings(members, percent), "lists")
     close = F.col("gap") <= F.col("nx") + F.col("ny") - 2 * _least(F.col("nx"), F.col("ny"), percent)
-    sets = sets_in_lists(lists, docs, members, settings)
-    known = stage(compare(leader_pairs(lists, percent), sets), "leader-answers")
+    first = stage(leader_pairs(lists, percent), "leader-pairs")
+    known = stage(compare(first, docs, members, settings), "leader-answers")
     near = known.filter(close).select(F.col("x").alias("a"), F.col("y").alias("b"))
     roots = components(near).select(F.col("node").alias("sid"), "root")
     rest = other_pairs(lists, stage(roots, "roots"), percent).join(known.select("x", "y"), ["x", "y"], "left_anti")
     rest = stage(derive(stage(rest, "other-pairs"), known, percent), "derived")
     derived = rest.filter("link").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    found = compare(rest.filter("link IS NULL"), sets).filter(close)
+    found = compare(rest.filter("link IS NULL").drop("link"), docs, members, settings).filter(close)
     return stage(near.union(derived).union(found.select(F.col("x").alias("a"), F.col("y").alias("b"))), "all-links")
 
 
@@ -279,7 +286,7 @@ def similar(docs: DataFrame, settings: JaccardSettings | None = None) -> DataFra
     """doc_id, n_shingles, component_id for each row of ``docs``."""
     settings = settings or JaccardSettings()
     rows, same = classes(docs, settings)
-    members = rows.join(same.select(F.col("sid").alias("place"), "sid"), "place")
+    members = rows.join(same.select(F.col("sid").alias("place"), "sid").hint("merge"), "place")
     joined = stage(components(links(docs, members, settings)), "components")
     labels = same.join(joined.select(F.col("node").alias("sid"), "root"), "sid")
     least = labels.groupBy("root").agg(F.min("low").alias("least"))

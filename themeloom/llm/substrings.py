@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.llm.fmindex import FMIndex
+from themeloom.llm.lookups import likely
 from themeloom.llm.words import Piece, chunk, column, fingerprints, grams, mix, pieces, words_of
 from themeloom.runtime import stage
 
@@ -197,7 +198,7 @@ def cut(docs: DataFrame, wanted: DataFrame, settings: SubstringSettings) -> Data
                         [x.split()[0] for x in CUTS.split(", ")],
                     )
 
-    return texts.join(lists, "doc_id").mapInArrow(take, CUTS)
+    return likely(texts, wanted).join(lists.hint("merge"), "doc_id").mapInArrow(take, CUTS)
 
 
 def _intervals(content: np.ndarray, start: np.ndarray) -> pd.DataFrame:
@@ -312,10 +313,10 @@ def strip_passages(docs: DataFrame, settings: SubstringSettings | None = None) -
                     ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
                 )
 
-    changed = texts.join(marks, "doc_id").mapInArrow(
+    changed = likely(texts, marks).join(marks.hint("merge"), "doc_id").mapInArrow(
         strip, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
     )
-    same = rows.join(marks.select("doc_id"), "doc_id", "left_anti").select(
+    same = rows.join(marks.select("doc_id").hint("merge"), "doc_id", "left_anti").select(
         "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept_text")
     )
     return same.union(changed).withColumn("doc_id", F.nullif("doc_id", F.lit(LAST_ID)))
