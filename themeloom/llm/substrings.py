@@ -253,7 +253,8 @@ def repeated(docs: DataFrame, rows: DataFrame, settings: SubstringSettings) -> D
     wanted = own.filter("different > 1").withColumn("hot", F.col("different") > settings.hot_segments)
     cuts = stage(cut(docs, wanted, settings), "segments")
     words = wanted.filter("NOT hot").agg(F.sum("size")).first()[0] or 0
-    shards = max(1, -(-words // settings.shard_words))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(partitions, -(-words // settings.shard_words))
     found = search(cuts.filter("segment IS NOT NULL"), shards, settings).union(search_hot(cuts.filter("segment IS NULL")))
     inner = stage(found, "repeated-windows")
     least = own.select("anchor", "content", F.col("doc_id").alias("_least"))
