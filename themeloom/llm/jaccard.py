@@ -5,10 +5,11 @@ set are put in one global order, frequent ones last, and only a prefix of them i
 indexed: two sets that are similar enough share at least ``SHARED`` tokens of their
 prefixes. Two relations between sets save most of the work:
 
-* Index lists carry set size and token position; pairs whose sizes or positions rule
-  out the overlap are skipped inside the list. Lists are first read against their
-  leader (the smallest set of a size class), and lists whose sets already belong to
-  one component are skipped as a whole afterwards.
+* Index lists carry set size, token position and a parity signature; pairs whose sizes,
+  positions or signatures rule out the overlap are skipped inside the list (each bit
+  that differs between two signatures takes at least one token that differs). Lists are
+  first read against a few leaders of each size class, and lists whose sets already
+  belong to one component are skipped as a whole afterwards.
 * Answers of a set follow from those of a highly similar leader: with the known
   differences x-leader and leader-y, the triangle inequality links or drops (x, y)
   without reading either set. Only pairs that it leaves open are compared.
@@ -41,7 +42,10 @@ from themeloom.runtime import stage
 
 #: Common prefix tokens that a pair needs (fewer when its overlap is smaller).
 SHARED = 12
-ROWS = "doc_id long, n_shingles long, set_key binary, prefix array<long>"
+#: Bits of the parity signature of a set, 64 in a number.
+SIGNATURE = 256
+SEEDS = (11, 23, 37)
+ROWS = "doc_id long, n_shingles long, set_key binary, signature array<long>, prefix array<long>"
 
 
 @dataclass(frozen=True)
@@ -105,6 +109,14 @@ def levels(frequencies: DataFrame, width: int) -> np.ndarray:
     return np.clip(np.ceil(np.log2(np.maximum(over, 0) + 1)), 0, 63).astype(np.uint8)
 
 
+def signatures(piece: Piece, shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each document the parity of its number of tokens in each of the classes."""
+    owner = np.repeat(np.arange(len(piece)), np.diff(bounds))
+    place = ((shingles >> np.uint64(20)) % np.uint64(SIGNATURE)).astype(np.int64)
+    counts = np.bincount(owner * SIGNATURE + place, minlength=len(piece) * SIGNATURE)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def rows_of(docs: DataFrame, level: np.ndarray, settings: JaccardSettings) -> DataFrame:
     """doc_id, set size, digest of the set and its prefix, for each row."""
     width, n, percent = settings.width, settings.words, settings.percent
@@ -130,9 +142,11 @@ def rows_of(docs: DataFrame, level: np.ndarray, settings: JaccardSettings) -> Da
                 prefix = pa.ListArray.from_arrays(
                     pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(flat)
                 )
+                steps = pa.array(np.arange(0, (len(piece) + 1) * SIGNATURE // 64, SIGNATURE // 64)[: len(piece) + 1], pa.int32())
+                marks = pa.ListArray.from_arrays(steps, pa.array(signatures(piece, shingles, bounds)))
                 yield pa.RecordBatch.from_arrays(
-                    [chunk(batch, "doc_id", piece), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), prefix],
-                    ["doc_id", "n_shingles", "set_key", "prefix"],
+                    [chunk(batch, "doc_id", piece), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), marks, prefix],
+                    ["doc_id", "n_shingles", "set_key", "signature", "prefix"],
                 )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(build, ROWS)
@@ -144,20 +158,25 @@ def _least(size_a: Column, size_b: Column, percent: int) -> Column:
 
 
 def postings(rows: DataFrame, percent: int) -> DataFrame:
-    """token, sid, n, pos, and whether a smaller set shows this token, of tokens that
-    more than one representative has. Copies are left out by their class."""
-    each = rows.select("sid", F.col("n_shingles").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
+    """token, sid, n, pos, signature, and whether a smaller set shows this token, of tokens
+    that more than one representative has. Copies are left out by their class."""
+    each = rows.select("sid", "n_shingles", "prefix").select("sid", F.col("n_shingles").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
     common = each.groupBy("token").count().filter("count > 1").select("token")
     own = F.col("n") - _least(F.col("n"), F.col("n"), percent) + SHARED
-    return each.join(common, "token").withColumn("indexed", F.col("pos") < own)
+    parts = [F.col("signature")[i].alias(f"s{i}") for i in range(SIGNATURE // 64)]
+    marks = rows.select("sid", *parts).hint("merge")
+    return each.join(common, "token").withColumn("indexed", F.col("pos") < own).join(marks, "sid")
 
 
 def _fits(small: str, large: str, percent: int) -> Column:
-    """Size and position let the pair reach its overlap."""
+    """Size, position and signature let the pair reach its overlap."""
     n1, n2, p1, p2 = (F.col(c) for c in (f"{small}.n", f"{large}.n", f"{small}.pos", f"{large}.pos"))
     least = _least(n1, n2, percent)
     reach = F.least(p1, p2) + 1 + F.least(n1 - p1, n2 - p2) - 1
-    return (100 * n1 >= percent * n2) & (reach >= least)
+    differ = F.lit(0)
+    for i in range(SIGNATURE // 64):
+        differ = differ + F.bit_count(F.col(f"{small}.s{i}").bitwiseXOR(F.col(f"{large}.s{i}")))
+    return (100 * n1 >= percent * n2) & (reach >= least) & (differ <= n1 + n2 - 2 * least)
 
 
 def _candidates(pairs: DataFrame, percent: int) -> DataFrame:
@@ -171,13 +190,25 @@ def _pair() -> list[Column]:
     return [F.col("s.sid").alias("x"), F.col("l.sid").alias("y"), F.col("s.n").alias("nx"), F.col("l.n").alias("ny")]
 
 
+def _smaller(one: str, other: str) -> Column:
+    n1, n2 = F.col(f"{one}.n"), F.col(f"{other}.n")
+    return (n1 < n2) | ((n1 == n2) & (F.col(f"{one}.sid") < F.col(f"{other}.sid")))
+
+
 def leader_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Each list's sets against the smallest set of their size class."""
+    """Each list's sets against a few sets of their size class: the first by each of
+    some hash orders, which tend to be the same sets in all lists of a group."""
     band = F.floor(F.log(F.col("n").cast("double")) / -F.log(F.lit(percent / 100))).cast("int")
+    row = F.struct("n", "sid", "pos", "indexed", *[f"s{i}" for i in range(SIGNATURE // 64)])
     banded = lists.withColumn("band", band)
-    leaders = banded.filter("indexed").groupBy("token", "band").agg(F.min(F.struct("n", "sid", "pos")).alias("m"))
-    pairs = banded.alias("l").join(leaders.select("token", "band", "m.*").alias("s"), ["token", "band"])
-    return _candidates(pairs.filter(F.col("s.sid") != F.col("l.sid")).filter(_fits("s", "l", percent)).select(*_pair()), percent)
+    chosen = [F.min_by(row, F.struct(F.xxhash64(F.lit(seed), "sid"), "sid")) for seed in SEEDS]
+    leaders = banded.groupBy("token", "band").agg(F.array_distinct(F.array(*chosen)).alias("leaders"))
+    leaders = leaders.select("token", "band", F.explode("leaders").alias("m")).select("token", "band", "m.*")
+    # The leader is the smaller set of the pair in one half, the larger in the other.
+    first = banded.alias("l").join(leaders.alias("s"), ["token", "band"])
+    second = leaders.alias("l").join(banded.alias("s"), ["token", "band"])
+    both = [x.filter(F.col("s.indexed") & _smaller("s", "l")).filter(_fits("s", "l", percent)).select("token", *_pair()) for x in (first, second)]
+    return _candidates(both[0].union(both[1]).distinct(), percent)
 
 
 def other_pairs(lists: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
@@ -187,22 +218,22 @@ def other_pairs(lists: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     mixed = known.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
     open_ = known.join(mixed, "token")
     small, large = open_.filter("indexed").alias("s"), open_.alias("l")
-    ordered = (F.col("s.n") < F.col("l.n")) | ((F.col("s.n") == F.col("l.n")) & (F.col("s.sid") < F.col("l.sid")))
-    on = (F.col("s.token") == F.col("l.token")) & (F.col("s.root") != F.col("l.root")) & ordered & _fits("s", "l", percent)
+    on = (F.col("s.token") == F.col("l.token")) & (F.col("s.root") != F.col("l.root")) & _smaller("s", "l") & _fits("s", "l", percent)
     return _candidates(small.join(large, on).select(*_pair()), percent)
 
 
 def derive(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """``pairs`` with ``link``: true or false where the answers of a leader decide it,
     null where the sets have to be read. ``known`` has (x, y, gap) of compared pairs."""
-    best = known.groupBy("y").agg(F.min(F.struct("gap", "x")).alias("b"))
+    either = known.select("x", "y", "gap").union(known.select("y", "x", "gap"))
+    best = either.groupBy("y").agg(F.min(F.struct("gap", "x")).alias("b"))
     near = best.select(F.col("y").alias("_set"), F.col("b.x").alias("_leader"), F.col("b.gap").alias("_own"))
     allowed = F.col("nx") + F.col("ny") - 2 * _least(F.col("nx"), F.col("ny"), percent)
 
     def by(one: str, other: str, found: str) -> DataFrame:
         step = pairs.select("x", "y", "nx", "ny").join(near, F.col(one) == F.col("_set"))
-        far = known.select(F.col("x").alias("_leader"), F.col("y").alias("_far"), F.col("gap").alias("_gap"))
-        step = step.join(far, (step._leader == far._leader) & (F.col(other) == F.col("_far")))
+        far = either.select(F.col("x").alias("_from"), F.col("y").alias("_far"), F.col("gap").alias("_gap"))
+        step = step.join(far, (step._leader == far._from) & (F.col(other) == F.col("_far")))
         link = F.when(F.col("_own") + F.col("_gap") <= allowed, True).when(
             F.abs(F.col("_own") - F.col("_gap")) > allowed, False
         )
