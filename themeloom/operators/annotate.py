@@ -17,6 +17,10 @@ from themeloom.runtime import stage
 from themeloom.schema import ANNOTATION, EFFORTS
 
 WORD = re.compile(r"[^\W\d_]{4,}")
+# Sentences of the citation verdict, part of the output contract.
+NOTHING_CITED = "LLM cited no evidence quotes"
+UNKNOWN_CITED = ("LLM cited ", " unknown quote id(s): [", "]")
+ALL_CITED = ("all ", " cited quote ids verified as cluster members")
 
 
 def extractive(row: dict) -> str:
@@ -198,14 +202,13 @@ def verify_citations(cited: DataFrame, members: DataFrame) -> DataFrame:
         F.transform(F.slice("unknown", 1, 3), lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "
     )
     detail = (
-        F.when(F.col("n_cited").isNull(), "LLM cited no evidence quotes")
+        F.when(F.col("n_cited").isNull(), NOTHING_CITED)
         .when(
             n_unknown > 0,
-            F.concat(F.lit("LLM cited "), n_unknown.cast("string"), F.lit(" unknown quote id(s): ["), some, F.lit("]")),
+            F.concat(F.lit(UNKNOWN_CITED[0]), n_unknown.cast("string"), F.lit(UNKNOWN_CITED[1]), some, F.lit(UNKNOWN_CITED[2])),
         )
         .otherwise(
-            F.concat(F.lit("all "), F.col("n_cited").cast("string"),
-                     F.lit(" cited quote ids verified as cluster members"))
+            F.concat(F.lit(ALL_CITED[0]), F.col("n_cited").cast("string"), F.lit(ALL_CITED[1]))
         )
     )
     return (

@@ -73,10 +73,10 @@ def map_points(folded: DataFrame) -> DataFrame:
 def search(
     themed: DataFrame, pattern: str | None = None, source: str | None = None, theme: str | None = None
 ) -> DataFrame:
-    """Case-insensitive regular expression, source and theme filters."""
+    """Case-insensitive (in any script) regular expression, source and theme filters."""
     out = themed
     if pattern:
-        out = out.filter(F.coalesce(F.col("text").rlike(f"(?i){pattern}"), F.lit(False)))
+        out = out.filter(F.coalesce(F.col("text").rlike(f"(?iu){pattern}"), F.lit(False)))
     if source:
         out = out.filter(F.col("source") == source)
     if theme:

@@ -13,6 +13,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def trigrams(df: DataFrame, text_col: str) -> DataFrame:
+    """(key columns of ``df``, gram, n): counts of the letter trigrams of each text."""
+    keys = [c for c in df.columns if c != text_col]
+    plain = F.regexp_replace(F.lower(F.col(text_col)), r"[^\p{L}]+", "_")
+    chars = F.filter(F.split(F.concat(F.lit("_"), plain, F.lit("_")), ""), lambda c: c != "")
+    grams = NGram(n=3, inputCol="_chars", outputCol="_grams").transform(df.withColumn("_chars", chars))
+    return grams.select(*keys, F.explode("_grams").alias("gram")).groupBy(*keys, "gram").agg(F.count("*").alias("n"))
+
+
+def profiles(grams: DataFrame, label_col: str = "lang") -> DataFrame:
+    """(lang, gram, lp): log probability of each trigram in each language, with one
+    added to every count; trained by grouping all labelled texts."""
+    counts = grams.filter(F.col(label_col).isNotNull()).groupBy(label_col, "gram").agg(F.sum("n").alias("c"))
+    totals = counts.groupBy(label_col).agg(F.sum("c").alias("total"))
+    known = counts.select("gram").distinct()
+    size = known.agg(F.count("*").alias("v")).scalar()
+    every = known.join(totals, F.lit(True)).join(counts, [label_col, "gram"], "left")
+    chance = (F.coalesce("c", F.lit(0)) + 1.0) / (F.col("total") + size)
+    return every.select(F.col(label_col).alias("profile"), "gram", F.log(chance).alias("lp"))
+
+
+def by_profile(grams: DataFrame, profile: DataFrame, key: str) -> DataFrame:
+    """(key, lang): the language with the largest log likelihood; equal ones go to the
+    first name. Texts without a known trigram are absent."""
+    scores = grams.join(profile, "gram").groupBy(key, "profile").agg(F.sum(F.col("n") * F.col("lp")).alias("score"))
+    best = F.max_by("profile", F.struct("score", F.reverse("profile")))
+    return scores.groupBy(key).agg(best.alias("lang"))
+
+
 def _letters(df: DataFrame, text_col: str) -> DataFrame:
     plain = F.regexp_replace(F.lower(F.col(text_col)), r"[^\p{L}]+", "_")
     return df.withColumn("_chars", F.split(F.concat(F.lit("_"), plain, F.lit("_")), ""))

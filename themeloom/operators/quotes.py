@@ -9,13 +9,12 @@ from themeloom.functions.measures import severity_prior
 from themeloom.runtime import stage
 from themeloom.schema import NOISE
 
-PROMPT_VERSION = "v1.2"
+PROMPT_VERSION = "themeloom-2"
 
 SYSTEM_PROMPT = (
-    "You analyse grouped user feedback for a product team. Be concrete, state root causes "
-    "as hypotheses, judge severity by content rather than tone, propose work that could "
-    "start in the next sprint, and cite only the quote ids you were given. If the quotes "
-    "mix several problems, say so and name the dominant one."
+    "Fill in an annotation record for one group of user feedback. Every field is about the "
+    "group as a whole. Keep texts short, name products and features as the quotes do, and "
+    "take evidence_quote_ids from the ids shown in brackets only."
 )
 CLUSTER_PROMPT = (
     "%d feedback items (%s) were grouped together. %d sampled quotes follow, each with its "
@@ -25,8 +24,8 @@ CLUSTER_PROMPT = (
     "low/medium/high, rationale) and evidence_quote_ids (3-6 of the ids above)."
 )
 SYNTHESIS_SYSTEM = (
-    "You write the executive part of a feedback report. Be short and neutral and use only "
-    "the theme analyses you are given."
+    "Fill in a summary record over annotated feedback themes. Use the listed themes and "
+    "nothing else."
 )
 SYNTHESIS_PROMPT = (
     "%d feedback items (%s) gave the themes below, each with priority (0-1), item count, "

@@ -72,6 +72,10 @@ def _bullets(items: Column, line) -> Column:
     return F.transform(items, line)
 
 
+# Headings and line layouts in ``report_blocks``, ``report_header`` and
+# ``grounding_text`` are the output contract of the report and of question answering.
+
+
 def report_blocks(insights: DataFrame) -> DataFrame:
     """One Markdown section per theme, to be written in rank order."""
     a = "analysis."

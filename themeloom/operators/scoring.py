@@ -114,15 +114,16 @@ def cluster_summary(df: DataFrame, cohesion: DataFrame | None = None) -> DataFra
     return out.orderBy(F.desc("n_items"), "cluster_id")
 
 
-def top_clusters(df: DataFrame, cap: int = 40) -> DataFrame:
-    """The ``cap`` largest clusters without the noise bucket."""
-    return (
+def top_clusters(df: DataFrame, cap: int | None = None) -> DataFrame:
+    """Clusters by size without the noise bucket: all, or the ``cap`` largest (how many
+    of them an annotator is asked about)."""
+    sizes = (
         df.filter(F.col("cluster_id") != NOISE)
         .groupBy("cluster_id")
         .agg(F.count("*").alias("n_items"))
         .orderBy(F.desc("n_items"), "cluster_id")
-        .limit(cap)
     )
+    return sizes if cap is None else sizes.limit(cap)
 
 
 def noise_stats(df: DataFrame) -> DataFrame:
@@ -140,10 +141,13 @@ def noise_stats(df: DataFrame) -> DataFrame:
     )
 
 
-def add_components(stats: DataFrame, source_types: DataFrame, settings: ScoreSettings) -> DataFrame:
+def add_components(
+    stats: DataFrame, source_types: DataFrame, largest_size: DataFrame, settings: ScoreSettings
+) -> DataFrame:
     """F, S, R and D of every cluster. ``stats`` carries an annotated ``severity``
-    in 1..5; ``source_types`` holds the corpus-wide number of sources."""
-    largest = stats.filter(F.col("cluster_id") != NOISE).agg(F.max("n_items").alias("n")).scalar()
+    in 1..5; ``source_types`` holds the corpus-wide number of sources and
+    ``largest_size`` the size of the largest cluster, annotated or not."""
+    largest = largest_size.scalar()
     n_types = source_types.scalar()
     n = F.col("n_items").cast("double")
     mood = F.col("mood") / n
@@ -202,14 +206,14 @@ def score_clusters(
     partials = stage(cluster_partials(df, settings), "cluster-partials")
     # One row per (cluster, source): distinct sources come from it, noise included.
     n_types = partials.agg(F.count_distinct("source").alias("k"))
+    clusters = cluster_stats(partials).filter(F.col("cluster_id") != NOISE)
+    largest = clusters.agg(F.max("n_items").alias("n"))
     stats = (
-        cluster_stats(partials)
-        .filter(F.col("cluster_id") != NOISE)
-        .join(severity.select("cluster_id", "severity"), "cluster_id")
+        clusters.join(severity.select("cluster_id", "severity"), "cluster_id")
         .join(cohesion.select("cluster_id", "cohesion"), "cluster_id", "left")
         .withColumn("cohesion", F.coalesce("cohesion", F.lit(0.0)))
     )
-    return with_priority(add_components(stats, n_types, settings), settings)
+    return with_priority(add_components(stats, n_types, largest, settings), settings)
 
 
 def with_priority(scored: DataFrame, settings: ScoreSettings = ScoreSettings()) -> DataFrame:
@@ -257,7 +261,6 @@ def with_priority(scored: DataFrame, settings: ScoreSettings = ScoreSettings())
 
 
 def rank_themes(insights: DataFrame) -> DataFrame:
-    """Ranks from 1 by priority. The insight table has at most ``cap`` rows of
-    ``top_clusters``, so the unpartitioned window is bounded."""
+    """Ranks from 1 by priority, over one narrow row for each scored cluster."""
     order = Window.orderBy(F.desc("priority_score"), "cluster_id")
     return insights.withColumn("rank", F.row_number().over(order))

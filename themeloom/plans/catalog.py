@@ -107,6 +107,15 @@ def starters(spark, sf):
     return raw.conversation_starters(turns, "reply_to").select("conv_id", "turn")
 
 
+@query
+def starters_only(spark, sf):
+    """Enough starters exist, so replies are left out."""
+    turns = tables.table(spark, sf, "conversations").withColumn(
+        "reply_to", F.when(F.col("turn") > 0, F.col("turn") - 1)
+    )
+    return raw.conversation_starters(turns, "reply_to", 5).select("conv_id", "turn")
+
+
 @query
 def largest_file(spark, sf):
     return readers.list_files(spark, sf, "*.parquet")
@@ -181,7 +190,7 @@ def author_hash(spark, sf):
 @query
 def dataset_names(spark, sf):
     docs = tables.table(spark, sf, "documents")
-    title = F.substring("text", 1, 24)
+    title = F.col("text")
     file = F.concat(F.col("lang"), F.lit("_feedback_"), F.col("source"), F.lit(".csv"))
     return docs.select(
         "doc_id", text.slug(title).alias("slug"), text.slug(title, "_").alias("source_slug"),
@@ -195,9 +204,15 @@ def most_recent(spark, sf):
     return raw.most_recent(events, 30_000, tie="event_id").select("event_id")
 
 
+@query
+def most_recent_cut(spark, sf):
+    events = tables.table(spark, sf, "events").withColumnRenamed("ts", "at")
+    return raw.most_recent(events, 500, tie="event_id").select("event_id")
+
+
 @query
 def fixed_sample(spark, sf):
-    return sampling.fixed_sample(tables.feedback(spark, sf).select("id"), 300, 42)
+    return sampling.fixed_sample(tables.texts(spark, sf).select("id"), 300, 42)
 
 
 # ---------------------------------------------------------------- cleaning
@@ -205,7 +220,7 @@ def fixed_sample(spark, sf):
 
 @query
 def clean_text(spark, sf):
-    return tables.feedback(spark, sf).select("id", text.clean_text(F.col("text")).alias("text_clean"))
+    return tables.texts(spark, sf).select("id", text.clean_text(F.col("text")).alias("text_clean"))
 
 
 @query
@@ -234,6 +249,15 @@ def lang_score(spark, sf):
     return found.groupBy("given", "lang").agg(F.count("*").alias("n")).orderBy("given", "lang")
 
 
+@query
+def lang_profiles(spark, sf):
+    """Languages by trigram profiles that are trained by grouping."""
+    docs = tables.table(spark, sf, "documents").select("doc_id", "lang", "text")
+    grams = stage(language.trigrams(docs, "text"), "trigrams")
+    profile = stage(language.profiles(grams), "profiles")
+    return language.by_profile(grams.select("doc_id", "gram", "n"), profile, "doc_id")
+
+
 @query
 def lang_filter(spark, sf):
     tagged = cleaning.tag_drops(_with_language(spark, sf), language="en")
@@ -285,6 +309,12 @@ def embed_tfidf(spark, sf):
     return built.select("id", "embedding")
 
 
+@query
+def term_weights(spark, sf):
+    rows = stage(tables.corpus(spark, sf).select("seq", "text_clean"), "texts")
+    return embed.term_weights(rows).select("seq", "term", r4("weight"))
+
+
 @query
 def vector_reuse(spark, sf):
     rows = tables.cleaned(spark, sf)
@@ -336,6 +366,14 @@ def pca_coords(spark, sf):
     return projection.map_coordinates(_vectors(spark, sf)).select("seq", r4("pca_x"), r4("pca_y"))
 
 
+@query
+def pca_energy(spark, sf):
+    """With all components, a row keeps its squared distance to the mean."""
+    reduced = projection.add_components(_vectors(spark, sf), 64)
+    energy = F.aggregate("reduced", F.lit(0.0), lambda total, x: total + x * x)
+    return reduced.select("seq", F.round(energy, 4).alias("energy"))
+
+
 @query
 def density_clusters(spark, sf):
     return density.density_clusters(_vectors(spark, sf)).select("seq", "cluster_id")
@@ -357,6 +395,15 @@ def silhouette(spark, sf):
     return evaluate.silhouette(_vectors(spark, sf)).select(r4("silhouette"), "n_members")
 
 
+@query
+def silhouette_linear(spark, sf):
+    """The squared-distance silhouette, whose work is linear in the rows."""
+    score = evaluate.squared_silhouette(_vectors(spark, sf).filter("cluster_id <> -1"))
+    return tables.table(spark, sf, "embeddings").filter("label <> -1").agg(
+        F.count("*").alias("n_members")
+    ).select("n_members", F.round(F.lit(score), 4).alias("silhouette"))
+
+
 @query
 def davies_bouldin(spark, sf):
     return evaluate.davies_bouldin(_vectors(spark, sf)).select(r4("davies_bouldin"), "n_clusters")
@@ -421,6 +468,16 @@ for _name, _column in {
     query(_fn)
 
 
+@query
+def score_failed_annotation(spark, sf):
+    """Scores when the annotation of the largest cluster failed."""
+    rows = tables.signals(spark, sf)
+    first = scoring.top_clusters(rows, 1).select("cluster_id")
+    severity = scoring.top_clusters(rows).join(first, "cluster_id", "left_anti").withColumn("severity", F.col("cluster_id") % 5 + 1)
+    scored = scoring.score_clusters(rows, severity, centroids.cohesion(rows))
+    return scored.select("cluster_id", r4("priority_score"), "n_largest")
+
+
 @query
 def recency_now(spark, sf):
     now = F.lit("2024-02-01 00:00:00").cast("timestamp")
@@ -464,6 +521,11 @@ def top_clusters(spark, sf):
     return scoring.top_clusters(tables.cleaned(spark, sf))
 
 
+@query
+def top_clusters_cut(spark, sf):
+    return scoring.top_clusters(tables.cleaned(spark, sf), 4)
+
+
 @query
 def rank_themes(spark, sf):
     ranked = scoring.rank_themes(_scored(spark, sf))
@@ -641,6 +703,11 @@ def theme_join(spark, sf):
     return _themed(spark, sf).groupBy("theme").agg(F.count("*").alias("n_items"))
 
 
+@query
+def search_unicode(spark, sf):
+    return explore.search(_themed(spark, sf), pattern="ÉMENT|ÜCHT|ÑAS").select("id", "source", "theme")
+
+
 @query
 def search(spark, sf):
     return explore.search(_themed(spark, sf), pattern="th(e|at) .*with").select(

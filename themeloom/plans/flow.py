@@ -30,7 +30,7 @@ class FlowSettings:
     scale_cluster_size: bool = False
     min_samples: int = 1
     noise_reassign_cosine: float = 0.55
-    max_clusters: int = 40
+    max_clusters: int | None = None
     max_quotes: int = 15
     minimum_rows: int = 20
     score: scoring.ScoreSettings = field(default_factory=scoring.ScoreSettings)
@@ -75,8 +75,11 @@ def prepare(
     members = centroids.add_centroid_cosine(assigned, centroids.centroids(assigned))
     scores = sentiment.score_tokens(texts, lexicon, key="seq")
     joined = (
-        unique.join(members, "seq").join(flags.select("seq", "is_near_dup"), "seq").join(scores, "seq", "left")
+        unique.join(members, "seq", "left").join(flags.select("seq", "is_near_dup"), "seq").join(scores, "seq", "left")
         .withColumn("sentiment", F.coalesce("sentiment", F.lit(0.0)))
+        # Rows without a vector stay in the corpus as noise.
+        .withColumn("cluster_id", F.coalesce("cluster_id", F.lit(NOISE)))
+        .withColumn("from_noise", F.coalesce("from_noise", F.lit(False)))
     )
     return stage(scoring.add_source_age(joined), "corpus"), stats
 

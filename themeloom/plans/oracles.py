@@ -34,7 +34,7 @@ TEXT_KEY = "sha1(lower(trim(text_clean)))"
 
 CTES = {
     "tickets0": """
-        SELECT conv_id, arg_min(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id""",
+        SELECT conv_id, turn, text FROM conversations WHERE role = 'user'""",
     "fb": """
         SELECT d.source || ':' || d.doc_id AS id, d.doc_id AS seq, d.source AS source, d.text AS text,
                CAST(CASE l.quality WHEN 1 THEN 4 WHEN 0 THEN 2 END - l.toxic AS DOUBLE) AS rating,
@@ -42,7 +42,7 @@ CTES = {
         FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
         LEFT JOIN events e ON e.event_id = d.doc_id LEFT JOIN embeddings v ON v.vec_id = d.doc_id
         UNION ALL
-        SELECT 'support_ticket:' || conv_id, 1000000000000 + conv_id, 'support_ticket', text,
+        SELECT 'support_ticket:' || conv_id || '-' || turn, 1000000000000 + conv_id * 1000000 + turn, 'support_ticket', text,
                NULL, NULL, NULL, -1 FROM tickets0""",
     "cleaned": "SELECT *, " + _clean("text") + " AS text_clean FROM fb",
     "cl": "SELECT * FROM cleaned WHERE length(text_clean) >= 15",
@@ -178,7 +178,7 @@ CTES = {
         SELECT cluster_id, sum(n) AS n_items, string_agg(source || ': ' || n, ', ' ORDER BY n DESC, source) AS breakdown
         FROM parts GROUP BY cluster_id""",
     "heads": """
-        SELECT cluster_id, id, substr(text_clean, 1, 80) AS head,
+        SELECT cluster_id, id, text_clean AS head,
                row_number() OVER (PARTITION BY cluster_id ORDER BY seq) AS r
         FROM cl WHERE cluster_id <> -1""",
     "made": """
@@ -290,6 +290,9 @@ ORACLES: dict[str, str] = {
               FROM conversations) WHERE role = 'user'""",
     "ticket_prefilter": """
         SELECT conv_id, turn, text FROM conversations WHERE role = 'user' AND contains(lower(text), 'the ')""",
+    "starters_only": """
+        SELECT conv_id, turn FROM conversations
+        WHERE turn = 0 OR (SELECT count(*) FROM conversations WHERE turn = 0) < 5""",
     "starters": """
         SELECT conv_id, turn FROM conversations
         WHERE turn = 0 OR (SELECT count(*) FROM conversations WHERE turn = 0) < 500""",
@@ -321,7 +324,8 @@ ORACLES: dict[str, str] = {
     "dataset_names": """
         SELECT doc_id, coalesce(nullif(b, ''), 'upload') AS slug, replace(coalesce(nullif(b, ''), 'upload'), '-', '_') AS source_slug,
                upper(substr(lang, 1, 1)) || lower(substr(lang, 2)) || ' Feedback ' || upper(substr(source, 1, 1)) || lower(substr(source, 2)) AS title
-        FROM (SELECT doc_id, lang, source, trim(regexp_replace(lower(substr(text, 1, 24)), '[^a-z0-9]+', '-', 'g'), '-') AS b FROM documents)""",
+        FROM (SELECT doc_id, lang, source, trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-') AS b FROM documents)""",
+    "most_recent_cut": "SELECT event_id FROM events ORDER BY ts DESC NULLS LAST, event_id LIMIT 500",
     "most_recent": "SELECT event_id FROM events ORDER BY ts DESC NULLS LAST, event_id LIMIT 30000",
     "fixed_sample": _q(["tickets0", "fb"], "SELECT id FROM fb ORDER BY md5(id || '#42'), id LIMIT 300"),
     "clean_text": _q(["tickets0", "fb", "cleaned"], "SELECT id, text_clean FROM cleaned"),
@@ -351,6 +355,33 @@ ORACLES: dict[str, str] = {
         near AS (SELECT b.seq FROM un a JOIN un b ON a.w = b.w AND a.seq < b.seq
                  GROUP BY a.seq, b.seq HAVING sum(a.x * b.x) > 0.92)
         SELECT seq, seq IN (SELECT seq FROM near) AS is_near_dup FROM uniq"""),
+    "term_weights": _q(BASE, r"""
+        , uniq AS (SELECT seq, text_clean FROM cl QUALIFY row_number() OVER (PARTITION BY """ + TEXT_KEY + r""" ORDER BY seq) = 1),
+        tf AS (SELECT seq, w, count(*) AS n FROM (
+                 SELECT seq, unnest(regexp_split_to_array(lower(text_clean), '[^\p{L}\p{N}]+')) AS w FROM uniq)
+               WHERE w <> '' GROUP BY seq, w),
+        tw AS (SELECT seq, w, n * ln(((SELECT count(*) FROM uniq) + 1.0) / (count(*) OVER (PARTITION BY w) + 1.0)) AS x FROM tf)
+        SELECT seq, w AS term, round(coalesce(x / nullif(sqrt(sum(x * x) OVER (PARTITION BY seq)), 0), 0), 4) AS weight FROM tw"""),
+    "pca_energy": """
+        WITH x AS (SELECT vec_id AS seq, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS d FROM embeddings)
+        SELECT seq, round(sum((v - m) * (v - m)), 4) AS energy FROM (SELECT *, avg(v) OVER (PARTITION BY d) AS m FROM x) GROUP BY seq""",
+    "silhouette_linear": _q(VEC, """
+        SELECT count(*) AS n_members, round(avg(CASE WHEN n_own = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 4) AS silhouette FROM (
+          SELECT seq, max(n) FILTER (own = other) AS n_own, max(t / (n - 1)) FILTER (own = other) AS a, min(t / n) FILTER (own <> other) AS b
+          FROM (SELECT x.seq, x.cluster_id AS own, y.cluster_id AS other, count(*) AS n,
+                       sum(list_distance(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) ** 2) AS t
+                FROM vec x JOIN vec y ON y.cluster_id <> -1 WHERE x.cluster_id <> -1 GROUP BY ALL) GROUP BY seq)"""),
+    "lang_profiles": r"""
+        WITH p AS (SELECT doc_id, lang, '_' || regexp_replace(lower(text), '[^\p{L}]+', '_', 'g') || '_' AS t FROM documents),
+        g AS (SELECT doc_id, lang, gram, count(*) AS n FROM (
+                SELECT doc_id, lang, substr(t, unnest(range(1, length(t) - 1)), 3) AS gram FROM p) GROUP BY ALL),
+        c AS (SELECT lang AS profile, gram, sum(n) AS c FROM g WHERE lang IS NOT NULL GROUP BY ALL),
+        tot AS (SELECT profile, sum(c) AS total FROM c GROUP BY profile),
+        k AS (SELECT DISTINCT gram FROM c),
+        lp AS (SELECT tot.profile, k.gram, ln((coalesce(c.c, 0) + 1.0) / (total + (SELECT count(*) FROM k))) AS lp
+               FROM k CROSS JOIN tot LEFT JOIN c ON c.profile = tot.profile AND c.gram = k.gram),
+        s AS (SELECT doc_id, profile, sum(n * lp) AS score FROM g JOIN lp USING (gram) GROUP BY ALL)
+        SELECT doc_id, arg_max(profile, score) AS lang FROM s GROUP BY doc_id""",
     "vector_reuse": _q(BASE, """
         SELECT k AS vector_key, bool_or(labelled) AS known FROM (
           SELECT sha256(concat_ws(chr(31), 'tfidf-1024', text_clean)) AS k,
@@ -412,11 +443,16 @@ ORACLES: dict[str, str] = {
     "confidence": _q(SCORE, """
         SELECT cluster_id, n_items, n_unique, badge, wilson_low, wilson_high, round(p, 4) AS negative_share,
                round(cohesion, 4) AS cohesion, cohesion < 0.35 AS mixed_theme_warning FROM conf"""),
+    "score_failed_annotation": _q(SCORE, """
+        SELECT cluster_id, priority_score, n_largest FROM scored
+        WHERE cluster_id <> (SELECT cluster_id FROM scored ORDER BY n_items DESC, cluster_id LIMIT 1)"""),
     "noise_stats": _q(BASE, """
         SELECT count(DISTINCT cluster_id) FILTER (cluster_id <> -1) AS n_clusters,
                round(avg(CASE WHEN cluster_id = -1 THEN 1.0 ELSE 0.0 END), 4) AS noise_share, 0::BIGINT AS soft_assigned_from_noise FROM cl"""),
+    "top_clusters_cut": _q(BASE, """
+        SELECT cluster_id, count(*) AS n_items FROM cl WHERE cluster_id <> -1 GROUP BY cluster_id ORDER BY n_items DESC, cluster_id LIMIT 4"""),
     "top_clusters": _q(BASE, """
-        SELECT cluster_id, count(*) AS n_items FROM cl WHERE cluster_id <> -1 GROUP BY cluster_id ORDER BY n_items DESC, cluster_id LIMIT 40"""),
+        SELECT cluster_id, count(*) AS n_items FROM cl WHERE cluster_id <> -1 GROUP BY cluster_id ORDER BY n_items DESC, cluster_id"""),
     "rank_themes": _q(SCORE, "SELECT rank, cluster_id, priority_score, n_items FROM ranked"),
     "quote_pool": _q(BASE + ["flagged"], """
         SELECT id, cluster_id FROM (SELECT *, count(*) FILTER (NOT is_near_dup) OVER (PARTITION BY cluster_id) AS n_orig FROM flagged)
@@ -461,6 +497,7 @@ ORACLES: dict[str, str] = {
           AND list_contains(list_transform(string_split(src, ';'), lambda x: split_part(x, '=', 1)), 'src3')
           AND list_contains(list_transform(string_split(src, ';'), lambda x: split_part(x, '=', 1)), 'src5')"""),
     "theme_join": _q(INSIGHT + ["themed"], "SELECT theme, count(*) AS n_items FROM themed GROUP BY theme"),
+    "search_unicode": _q(INSIGHT + ["themed"], "SELECT id, source, theme FROM themed WHERE regexp_matches(text, '(?i)ÉMENT|ÜCHT|ÑAS')"),
     "search": _q(INSIGHT + ["themed"], f"""
         SELECT id, source, theme, rating, round(sentiment, 4) AS sentiment, {TS} FROM themed WHERE regexp_matches(text, '(?i)th(e|at) .*with')"""),
     "fold_themes": _q(INSIGHT + ["themed"], """

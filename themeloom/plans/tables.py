@@ -1,7 +1,7 @@
 """Corpus views over the given tables.
 
-``documents`` with labels, events and embeddings play the reviews; the first
-user turn of each conversation plays a support ticket.
+``documents`` with labels, events and embeddings play the reviews; each user
+turn of a conversation plays a support ticket.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from themeloom.sources.readers import spread
 LEXICON = [("the", -1.5), ("and", 1.2), ("that", -2.1), ("for", 2.4), ("was", -0.8), ("with", 1.9),
            ("les", -1.7), ("une", 2.2), ("und", 1.4), ("der", -1.1)]
 TICKET_SEQ = 1_000_000_000_000
+# Room for the turns of a conversation in a ticket number.
+TURNS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,9 +31,23 @@ def lexicon(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(LEXICON, "word string, valence double")
 
 
-def first_user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").filter("role = 'user'")
-    return turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
+def user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", "text")
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, seq, source, text of all feedback, without the joins that fill other columns."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    reviews = docs.select(item_id(F.col("source"), F.col("doc_id")).alias("id"), F.col("doc_id").alias("seq"), "source", "text")
+    return reviews.unionByName(_tickets(spark, sf_dir))
+
+
+def _tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return user_turns(spark, sf_dir).select(
+        item_id(F.lit("support_ticket"), F.concat_ws("-", "conv_id", "turn")).alias("id"),
+        (F.col("conv_id") * TURNS + F.col("turn") + TICKET_SEQ).alias("seq"),
+        F.lit("support_ticket").alias("source"), "text",
+    )
 
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,12 +68,7 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.coalesce("label", F.lit(NOISE)).cast("int").alias("cluster_id"),
         )
     )
-    tickets = first_user_turns(spark, sf_dir).select(
-        item_id(F.lit("support_ticket"), F.col("conv_id")).alias("id"),
-        (F.col("conv_id") + TICKET_SEQ).alias("seq"),
-        F.lit("support_ticket").alias("source"), "text",
-        F.lit(NOISE).alias("cluster_id"),
-    )
+    tickets = _tickets(spark, sf_dir).withColumn("cluster_id", F.lit(NOISE))
     return reviews.unionByName(tickets, allowMissingColumns=True).withColumn("from_noise", F.lit(False))
 
 
@@ -110,7 +121,7 @@ def annotations(rows: DataFrame) -> DataFrame:
     order = Window.partitionBy("cluster_id").orderBy("seq")
     heads = (
         rows.filter(F.col("cluster_id") != NOISE)
-        .select("cluster_id", "seq", "id", F.substring("text_clean", 1, 80).alias("head"))
+        .select("cluster_id", "seq", "id", F.col("text_clean").alias("head"))
         .withColumn("r", F.row_number().over(order)).filter("r <= 3")
     )
     lists = F.array_sort(F.collect_list(F.struct("r", "id", "head")))

@@ -3,30 +3,39 @@ scan never makes an inference pass over the data."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def csv_header(spark: SparkSession, path: str) -> list[str]:
-    """Column names, from the header line only."""
-    return spark.read.option("header", True).option("escape", '"').csv(path).columns
+def _csv(spark: SparkSession, multi_line: bool) -> DataFrameReader:
+    return (
+        spark.read.option("header", True)
+        .option("multiLine", multi_line)
+        .option("escape", '"')
+        .option("recursiveFileLookup", True)
+    )
+
+
+def csv_header(spark: SparkSession, path: str, multi_line: bool = True) -> list[str]:
+    """Column names, from the header of one file (nested folders included)."""
+    return _csv(spark, multi_line).csv(path).columns
 
 
 def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """CSV with quoted line breaks; adds ``_file`` (name of the source file).
 
-    ``multi_line`` files cannot be split, so very large exports should be
-    written as many files or read with ``multi_line=False``.
+    All files must have the same header: Spark compares each with the first and
+    fails on another name or order, so no column is ever read as another one. Files
+    of different layouts are read apart and united by the adapters. ``multi_line``
+    files cannot be split, so very large exports should be written as many files or
+    read with ``multi_line=False``.
     """
-    names = csv_header(spark, path)
+    names = csv_header(spark, path, multi_line)
     schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
     return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("multiLine", multi_line)
-        .option("escape", '"')
-        .option("recursiveFileLookup", True)
+        _csv(spark, multi_line).schema(schema)
+        .option("enforceSchema", False)
         .csv(path)
         .withColumn("_file", F.col("_metadata.file_name"))
     )
