@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from themeloom.runtime import stage
 
 
-def spread_row_number(df: DataFrame, groups: list[str], order: list[Column], name: str) -> DataFrame:
-    """row_number over (groups, order) for a total order.
+def spread_row_number(df: DataFrame, groups: list[str], order: list[Column], name: str, kind: str = "int") -> DataFrame:
+    """row_number over (groups, order) for a total order, as ``kind`` (a group of more than
+    two billion rows needs ``long``).
 
     Rows are range-partitioned by (groups, order), the slices are written once
     (so slice numbers cannot change when a task is retried), numbered inside
@@ -29,6 +30,6 @@ def spread_row_number(df: DataFrame, groups: list[str], order: list[Column], nam
     return (
         sliced.withColumn("_r", F.row_number().over(inside))
         .join(offsets, [*groups, "_slice"])
-        .withColumn(name, (F.col("_r") + F.col("_ahead")).cast("int"))
+        .withColumn(name, (F.col("_r") + F.col("_ahead")).cast(kind))
         .drop("_r", "_ahead", "_slice")
     )
