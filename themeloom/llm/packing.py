@@ -110,10 +110,10 @@ def pack(docs: DataFrame, settings: PackSettings | None = None) -> DataFrame:
     limits = F.array(*[F.lit(b).cast("long") for b in bounds])
     bucket = F.array_min(F.filter(limits, lambda b: b >= F.col("n_tokens")))
     placed = spread_row_number(
-        rows.withColumn("bucket", bucket), ["bucket"], [F.col("doc_id"), F.col("n_tokens")], "_place"
+        rows.withColumn("bucket", bucket), ["bucket"], [F.col("doc_id"), F.col("n_tokens")], "_place", "long"
     )
     size = F.greatest(F.lit(1), F.floor(F.lit(settings.budget) / F.greatest("bucket", F.lit(1))).cast("long"))
-    return placed.withColumn("_at", F.col("_place").cast("long") - 1).select(
+    return placed.withColumn("_at", F.col("_place") - 1).select(
         "doc_id", "n_tokens", "bucket", F.floor(F.col("_at") / size).cast("long").alias("batch"),
         (F.col("_at") % size).alias("slot"), (F.col("bucket") - F.col("n_tokens")).alias("padding"),
     )
