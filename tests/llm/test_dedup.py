@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tests.llm import brute
-from themeloom.llm import components, exact, jaccard, perfect, substrings
+from themeloom.llm import components, exact, jaccard, lookups, perfect, substrings
 from themeloom.llm.fmindex import FMIndex
 
 SCHEMA = "doc_id long, text string, source string, sid string, token string"
@@ -124,6 +124,15 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 150: 100, 200: 100}
 
 
+def test_likely_rows(spark):
+    docs = spark.createDataFrame([(i, "t") for i in range(200)] + [(None, "t")], "doc_id long, text string")
+    ids = spark.createDataFrame([(3,), (150,), (None,)], "doc_id long")
+    got = {r.doc_id for r in lookups.likely(docs, ids).collect()}
+    assert {3, 150, None} <= got and len(got) < 20
+    assert lookups.likely(docs, ids, 1).count() == 201  # a full map passes all rows
+    assert lookups.likely(docs, ids.limit(0)).count() == 0
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert substrings.strip_passages(none).count() == 0
