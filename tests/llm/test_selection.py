@@ -1,6 +1,7 @@
 """Quality rules, mixing and packing."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -33,6 +34,33 @@ def test_good_documents_stay_and_junk_goes(spark):
     assert kept.count() == quality.verdicts(docs, labels).filter("kept").count()
 
 
+def test_rejection_rates_agree_across_sizes(spark):
+    rates = {}
+    for size in ("sf0.01", "sf0.1"):
+        docs, labels = (table(spark, f"/root/testdata/{size}", name) for name in ("documents", "labels"))
+        rows = quality.verdicts(docs, labels).join(labels, "doc_id").filter("NOT base_failed").collect()
+        rates[size] = [np.mean([not r.kept for r in rows if r.quality == q]) for q in (0, 1)]
+    (bad, good), (bad_l, good_l) = rates["sf0.01"], rates["sf0.1"]
+    assert min(bad, bad_l) > 0.95 and max(good, good_l) < 0.01 and abs(bad - bad_l) < 0.05
+
+
+def test_scores_leave_the_own_text_out(spark):
+    """Against exact counts of distinct texts, without the text's own."""
+    texts = ["a b c", "a b d d", "a b c", "c d a", None, "z z", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(3, "c d a")], "doc_id long, text string")
+    labels = spark.createDataFrame([(2, 1, 0), (3, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")
+    own = {t: Counter(brute.words(t) + list(zip(brute.words(t), brute.words(t)[1:]))) for t in texts if t}
+    trusted, prior = {"a b c", "c d a"}, quality.QualitySettings().prior
+    share = sum(own[t].total() for t in trusted) / sum(c.total() for c in own.values())
+    for row in quality.verdicts(docs, labels).collect():
+        text, want = texts[row.doc_id], 0.0
+        for gram, n in own.get(text, {}).items():
+            others = [t for t in own if t != text]
+            good = sum(own[t][gram] for t in others if t in trusted)
+            want += n * np.log((good / share + prior) / (sum(own[t][gram] for t in others) + prior))
+        assert row.score == pytest.approx(want / max(row.n_grams, 1), abs=1e-8)
+
+
 def test_quality_without_rows_or_labels(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, raw string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -1,11 +1,17 @@
-"""Quality rules: hashed n-gram likelihood ratio of trusted and raw text.
+"""Quality rules: n-gram likelihood ratio of trusted and raw text.
 
-One pass counts unigrams and bigrams of *all* documents in hashed buckets, once
-for the whole corpus and once for the trusted documents, and gives two smoothed
-multinomials. A second pass scores each document with the mean log ratio of its
-n-grams and keeps it when that mean reaches a fixed threshold: no sampling and
-no random draw, so the verdict of a document depends on its text and the two
-multinomials only. Surface rules (too few words, repetition) come first.
+Unigrams and bigrams of *all* documents are counted under their 64-bit fingerprints,
+once for the whole corpus and once for the trusted documents; equal texts count once,
+and are trusted when a copy is. A document gets the mean log ratio of its n-grams,
+without its own counts in either of the two: an n-gram that no other text has says
+nothing, and one that others have is drawn to the share of trusted text in the corpus
+with the weight of ``prior`` occurrences. The document is kept when the mean reaches a
+fixed threshold: no sampling and no random draw. Surface rules (too few words,
+repetition) come first.
+
+The n-grams of a document meet the counts of the corpus in slices of the fingerprints,
+whose number follows the size of the texts; each slice is one group of bounded size, and
+no table of n-grams reaches the driver or all tasks.
 
 Results for odd rows: null and empty texts have no words, score 0 and fail the
 word rule; repeated rows get equal verdicts; a null id is never trusted; an empty
@@ -32,63 +38,132 @@ VERDICT = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
     "n_repeat_words long, base_failed boolean, n_grams long, score double, kept boolean"
 )
+SURFACE = VERDICT.replace("score double, kept boolean", "key long")
+
+
+#: Characters of distinct texts for each slice, about a million n-grams.
+SLICE = 1 << 22
+#: Stands for a null id in joins.
+NO_ID = -(1 << 63)
 
 
 @dataclass(frozen=True)
 class QualitySettings:
-    """Hash width of the multinomials, additive smoothing, and the least mean log ratio."""
+    """Weight of the corpus share in occurrences, and the least mean log ratio."""
 
-    buckets: int = 1 << 16
-    smoothing: float = 0.5
+    prior: float = 5.0
     threshold: float = -0.25
     least_words: int = 50
 
 
-def _features(piece: Piece, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and document of every unigram and bigram of a piece."""
+def _features(piece: Piece) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprint and document of every unigram and bigram of a piece."""
     owner = piece.owner()
     pairs, whole = grams_inside(piece, 2)
-    marks = np.concatenate([mix(piece.marks), pairs[whole]])
-    return (marks % np.uint64(buckets)).astype(np.int64), np.concatenate([owner, owner[: len(pairs)][whole]])
+    return np.concatenate([mix(piece.marks), pairs[whole]]), np.concatenate([owner, owner[: len(pairs)][whole]])
 
 
-def count_grams(docs: DataFrame, trusted: DataFrame, settings: QualitySettings) -> DataFrame:
-    """bucket, raw, good: n-gram counts of all documents and of the trusted ones.
+def _packed(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of 64-bit values, all first bytes, then all second bytes, ..."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
-    ``trusted`` holds distinct ``doc_id``; tasks add up their buckets before the
-    shuffle, which carries at most ``buckets`` rows for each task. The trusted ids grow
-    with the documents, so they are merged with them and never broadcast.
-    """
-    chosen = trusted.select("doc_id").distinct().withColumn("_good", F.lit(True))
-    marked = docs.select("doc_id", "text").join(chosen.hint("merge"), "doc_id", "left")
-    buckets = settings.buckets
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, good = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-        for batch in batches:
-            chosen = np.array(column(batch, "_good").fill_null(False))
-            for piece in pieces(column(batch, "text")):
-                place, owner = _features(piece, buckets)
-                raw += np.bincount(place, minlength=buckets)
-                good += np.bincount(place[chosen[piece.first + owner]], minlength=buckets)
-        used = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used), pa.array(raw[used]), pa.array(good[used])], ["bucket", "raw", "good"]
-        )
+def _unpacked(data: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.reshape(-1).view("<u8").astype(np.uint64)
+
 
-    counted = marked.mapInArrow(count, "bucket long, raw long, good long")
-    return counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_key``, equal for equal texts, and ``_id``, the id without nulls."""
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    return docs.withColumn("_key", key).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
 
 
-def log_ratios(counts: DataFrame, settings: QualitySettings) -> np.ndarray:
-    """Log ratio of each bucket; at most ``buckets`` rows reach the driver."""
-    raw, good = np.zeros(settings.buckets), np.zeros(settings.buckets)
-    for row in counts.collect():
-        raw[row.bucket], good[row.bucket] = row.raw, row.good
-    if not good.sum():
-        return np.zeros(settings.buckets)
-    raw, good = raw + settings.smoothing, good + settings.smoothing
-    return np.log(good / good.sum()) - np.log(raw / raw.sum())
+def text_classes(rows: DataFrame, trusted: DataFrame) -> DataFrame:
+    """key, low, n_grams, n_chars, good, no: each distinct text with its smallest id,
+    whether a copy of it is trusted, and a number. ``trusted`` holds distinct ``doc_id``;
+    it grows with the documents, so it is merged with them and never broadcast."""
+    chosen = trusted.select(F.col("doc_id").cast("long")).distinct().withColumn("_good", F.lit(True))
+    marked = rows.select("doc_id", "key", "n_grams", "word_chars").join(chosen.hint("merge"), "doc_id", "left")
+    same = marked.groupBy("key").agg(
+        F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("low"), F.max("n_grams").alias("n_grams"),
+        F.max("word_chars").alias("n_chars"), F.coalesce(F.max("_good"), F.lit(False)).alias("good"),
+    )
+    return stage(same.withColumn("no", F.monotonically_increasing_id()), "text-classes")
+
+
+def gram_slices(texts: DataFrame, slices: int) -> DataFrame:
+    """part, grams, codes, counts: for each slice of the fingerprints, n-grams of some of
+    ``texts`` (no, good, text) with twice the number of the text, plus one if it is good,
+    and how often the text has them. A slice and 48 bits tell n-grams apart."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code = 2 * np.array(column(batch, "no")).astype(np.uint64) + np.array(column(batch, "good")).astype(np.uint64)
+            for piece in pieces(column(batch, "text")):
+                gram, owner = _features(piece)
+                if not len(gram):
+                    continue
+                order = np.lexsort((gram, owner))
+                gram, owner = gram[order], owner[order]
+                fresh = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])))
+                count = np.diff(np.append(fresh, len(gram)))
+                gram, own = gram[fresh], code[piece.first + owner[fresh]]
+                part = (((gram >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)).astype(np.int64)
+                order = np.lexsort((own, part))
+                gram, own, count, part = gram[order], own[order], count[order], part[order]
+                begins = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+                bounds = zip(begins, np.append(begins[1:], len(part)), strict=True)
+                rows = [
+                    (part[a], _packed(gram[a:b], 6), _packed(np.diff(own[a:b], prepend=np.uint64(0)), 8), _packed(count[a:b], 4))
+                    for a, b in bounds
+                ]
+                names = ["part", "grams", "codes", "counts"]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names)
+
+    return texts.mapInArrow(cut, "part long, grams binary, codes binary, counts binary")
+
+
+def slice_sums(table: pa.Table, share: float, prior: float) -> pa.Table:
+    """no, part_sum: log ratios of the n-grams of one slice, added up for each text."""
+    read = [[_unpacked(x, w) for x in table.column(c).to_pylist()] for c, w in (("grams", 6), ("codes", 8), ("counts", 4))]
+    gram, own = np.concatenate(read[0]), np.concatenate([np.cumsum(x, dtype=np.uint64) for x in read[1]])
+    count = np.concatenate(read[2]).astype(np.float64)
+    order = np.lexsort((own, gram))
+    gram, own, count = gram[order], own[order], count[order]
+    once = np.append(True, (gram[1:] != gram[:-1]) | (own[1:] != own[:-1]))  # rows that repeat id and text
+    gram, own, count = gram[once], own[once], count[once]
+    begins = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+    sizes = np.diff(np.append(begins, len(gram)))
+    good = count * (own & np.uint64(1))
+    others = np.repeat(np.add.reduceat(count, begins), sizes) - count
+    others_good = np.repeat(np.add.reduceat(good, begins), sizes) - good
+    ratio = np.log((others_good / share + prior) / (others + prior))
+    texts, place = np.unique(own >> np.uint64(1), return_inverse=True)
+    return pa.table({"no": pa.array(texts.astype(np.int64)), "part_sum": pa.array(np.bincount(place, ratio * count, len(texts)))})
+
+
+def scores(docs: DataFrame, rows: DataFrame, labels: DataFrame, settings: QualitySettings) -> DataFrame:
+    """key, sum: sum of the log ratios of each distinct text, if there is trusted text."""
+    same = text_classes(rows, trusted_ids(labels))
+    total = same.agg(
+        F.sum("n_grams").alias("all"), F.sum(F.when(F.col("good"), F.col("n_grams"))).alias("good"), F.sum("n_chars").alias("chars")
+    ).first()
+    if not total.good:
+        return same.select("key", F.lit(0.0).alias("sum"))
+    share, prior = total.good / total["all"], settings.prior
+    slices = max(1, -(-total.chars // SLICE))
+    wanted = same.filter("n_grams > 0").select(F.col("key").alias("_key"), F.col("low").alias("_id"), "no", "good")
+    texts = keyed(docs.select("doc_id", "text")).join(wanted.hint("shuffle_hash"), ["_key", "_id"]).select("no", "good", "text")
+
+    def add(table: pa.Table) -> pa.Table:
+        return slice_sums(table, share, prior)
+
+    parts = gram_slices(texts, slices).groupBy("part").applyInArrow(add, "no long, part_sum double")
+    sums = parts.groupBy("no").agg(F.sum("part_sum").alias("sum"))
+    return same.select("key", "no").join(sums, "no").select("key", "sum")
 
 
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -123,17 +198,14 @@ def _copied_lines(text: bytes) -> int:
     return copies
 
 
-def _judged(batch: pa.RecordBatch, ratios: np.ndarray, settings: QualitySettings) -> Iterator[pa.RecordBatch]:
-    """Verdict rows of a batch, piece by piece and in its order."""
+def _judged(batch: pa.RecordBatch, settings: QualitySettings) -> Iterator[pa.RecordBatch]:
+    """Surface verdicts of a batch, piece by piece and in its order."""
     symbol = np.zeros(256, bool)
     symbol[list(SYMBOLS)] = True
     lead = (np.arange(256) & 0xC0) != 0x80
     lead[[9, 10, 11, 12, 13, 32]] = False
     for piece in pieces(column(batch, "text")):
         n = piece.counts
-        place, owner = _features(piece, settings.buckets)
-        grams = np.bincount(owner, minlength=len(piece))
-        score = np.bincount(owner, ratios[place], len(piece)) / np.maximum(grams, 1)
         repeated = _repeats(piece)
         failed = (n < settings.least_words) | (100 * repeated > 50 * n)
         lines = [
@@ -143,16 +215,20 @@ def _judged(batch: pa.RecordBatch, ratios: np.ndarray, settings: QualitySettings
         columns = [
             chunk(batch, "doc_id", piece).cast(pa.int64()), pa.array(n, pa.int64()),
             pa.array(_sums(lead[piece.data], piece.bounds)), pa.array(_sums(symbol[piece.data], piece.bounds)),
-            pa.array(lines, pa.int64()), pa.array(repeated), pa.array(failed), pa.array(grams),
-            pa.array(score), pa.array(~failed & (score >= settings.threshold)),
+            pa.array(lines, pa.int64()), pa.array(repeated), pa.array(failed), pa.array(np.maximum(2 * n - 1, 0), pa.int64()),
+            chunk(batch, "_key", piece),
         ]
-        yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in VERDICT.split(", ")])
+        yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SURFACE.split(", ")])
 
 
-def fit(docs: DataFrame, labels: DataFrame, settings: QualitySettings) -> np.ndarray:
-    """Log ratios from the n-grams of all of ``docs``."""
-    counts = stage(count_grams(docs, trusted_ids(labels), settings), "gram-counts")
-    return log_ratios(counts, settings)
+def surface(docs: DataFrame, settings: QualitySettings) -> DataFrame:
+    """Surface verdict and ``key`` of the text of each row."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _judged(batch, settings)
+
+    return keyed(docs.select("doc_id", "text")).mapInArrow(judge, SURFACE)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -161,26 +237,21 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, settings: QualitySettings | None = None) -> DataFrame:
-    """One verdict for each row of ``docs``; the scoring pass has no shuffle."""
+    """One verdict for each row of ``docs``."""
     settings = settings or QualitySettings()
-    ratios = fit(docs, labels, settings)
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from _judged(batch, ratios, settings)
-
-    return docs.select("doc_id", "text").mapInArrow(judge, VERDICT)
+    rows = stage(surface(docs, settings), "surface-verdicts")
+    found = rows.join(stage(scores(docs, rows, labels, settings), "scores").hint("merge"), "key", "left")
+    mean = F.coalesce(F.col("sum") / F.col("n_grams"), F.lit(0.0))
+    scored = found.withColumn("score", F.when(F.col("n_grams") > 0, F.round(mean, 9)).otherwise(F.lit(0.0)))
+    scored = scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= settings.threshold))
+    return scored.select(*[x.split()[0] for x in VERDICT.split(", ")])
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, settings: QualitySettings | None = None) -> DataFrame:
-    """Rows of ``docs`` whose verdict is to stay, with all their columns, without a shuffle."""
+    """Rows of ``docs`` whose verdict is to stay, with all their columns."""
     settings = settings or QualitySettings()
-    ratios = fit(docs, labels, settings)
-
-    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = [column(part, "kept") for part in _judged(batch, ratios, settings)]
-            if kept:
-                yield batch.filter(pa.chunked_array(kept).combine_chunks())
-
-    return docs.mapInArrow(good, docs.schema)
+    rows = stage(surface(docs, settings), "surface-verdicts")
+    found = stage(scores(docs, rows, labels, settings), "scores")
+    good = rows.filter("NOT base_failed").join(found.hint("merge"), "key").filter(F.round(F.col("sum") / F.col("n_grams"), 9) >= settings.threshold)
+    stay = good.select(F.col("key").alias("_key"), F.coalesce("doc_id", F.lit(NO_ID)).alias("_id")).distinct()
+    return keyed(docs).join(stay.hint("shuffle_hash"), ["_key", "_id"], "left_semi").select(*docs.columns)
