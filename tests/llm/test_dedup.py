@@ -118,6 +118,32 @@ def test_similar_with_narrow_frequencies(spark, corpus):
     assert sorted((tuple(r) for r in got), key=key) == sorted(brute.similar(corpus), key=key)
 
 
+@pytest.mark.parametrize("percent,block", [(85, 256), (85, 8)])
+def test_links_inside_components_are_counted(spark, corpus, percent, block, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = random.Random(5)
+    base = [f"word{i}" for i in range(120)]
+    texts = [" ".join(base)] * 3
+    for i in range(40):  # distinct near copies, some of them not similar to each other
+        own = list(base)
+        for k in rng.sample(range(120), rng.randint(1, 3)):
+            own[k] = f"new{i}_{k}"
+        texts.append(" ".join(own))
+    rows = corpus + [(10_000 + i, t) for i, t in enumerate(texts)]
+    settings = jaccard.JaccardSettings(percent=percent)
+    got = jaccard.counted(frame(spark, rows), settings).collect()
+    words = [brute.words((t or "").translate(brute.LOWER)) for _, t in rows]
+    sets = [{tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if w else set() for w in words]
+    want = []
+    for i, (doc, _) in enumerate(rows):
+        near = [k for k, s in enumerate(sets) if k != i and s and sets[i] and 100 * len(s & sets[i]) >= percent * len(s | sets[i])]
+        want.append((doc, len(sets[i]), len(near)))
+    assert sorted(((r.doc_id, r.n_shingles, r.n_links) for r in got), key=key) == sorted(want, key=key)
+    assert max(w[2] for w in want) > 3
+    plain = jaccard.similar(frame(spark, rows), settings).collect()
+    assert sorted((tuple(r)[:3] for r in got), key=key) == sorted((tuple(r) for r in plain), key=key)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 150), (7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}

@@ -8,8 +8,10 @@ prefixes. Two relations between sets save most of the work:
 * Index lists carry set size, token position and a parity signature; pairs whose sizes,
   positions or signatures rule out the overlap are skipped inside the list (each bit
   that differs between two signatures takes at least one token that differs). Lists are
-  first read against a few leaders of each size class, and lists whose sets already
-  belong to one component are skipped as a whole afterwards.
+  first read against a few leaders of each size class. Where only components are asked
+  for, lists whose sets already belong to one component are skipped as a whole
+  afterwards; where the links of each row are counted, lists are read against
+  themselves, by blocks of bounded size.
 * Answers of a set follow from those of a highly similar leader: with the known
   differences x-leader and leader-y, the triangle inequality links or drops (x, y)
   without reading either set. Only pairs that it leaves open are compared.
@@ -19,7 +21,7 @@ to the tasks, and any order gives the same result. Sets are compared by 64-bit
 fingerprints of n-grams.
 
 Results for odd rows: null, empty and blank texts have no set, link with nothing and
-are their own component; rows with equal sets are linked; a null id ranks above every
+are their own component; the links of a row are all other rows with an equal or similar set; rows with equal sets are linked; a null id ranks above every
 other id, so a component has a null id only when all its ids are null; an empty table
 gives an empty result. Other columns play no part.
 """
@@ -45,6 +47,8 @@ SHARED = 12
 #: Bits of the parity signature of a set, 64 in a number.
 SIGNATURE = 256
 SEEDS = (11, 23, 37)
+#: Sets of a list and size class that are joined in one group.
+BLOCK = 256
 ROWS = "doc_id long, n_shingles long, set_key binary, signature array<long>, prefix array<long>"
 
 
@@ -222,6 +226,22 @@ def other_pairs(lists: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     return _candidates(small.join(large, on).select(*_pair()), percent)
 
 
+def every_pair(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets from all lists, inside components too. A list is cut by size class
+    and into blocks; a set meets the blocks of its own class and of the next larger one,
+    as no others have sizes that let it link."""
+    # shrunk a little: sizes at just the limit stay in neighbouring classes
+    band = F.floor(F.log(F.col("n").cast("double")) / -F.log(F.lit(percent / 100)) * (1 - 1e-9)).cast("int")
+    banded = lists.withColumn("band", band)
+    blocks = banded.groupBy("token", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    large = banded.join(blocks, ["token", "band"]).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    asking = banded.filter("indexed").withColumn("up", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", F.col("band") + F.col("up"))
+    small = asking.join(blocks, ["token", "band"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    same = [F.col(f"s.{c}") == F.col(f"l.{c}") for c in ("token", "band", "block")]
+    on = same[0] & same[1] & same[2] & _smaller("s", "l") & _fits("s", "l", percent)
+    return _candidates(small.alias("s").join(large.alias("l"), on).select(*_pair()), percent)
+
+
 def derive(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """``pairs`` with ``link``: true or false where the answers of a leader decide it,
     null where the sets have to be read. ``known`` has (x, y, gap) of compared pairs."""
@@ -286,16 +306,21 @@ def compare(pairs: DataFrame, docs: DataFrame, members: DataFrame, settings: Jac
     return found.distinct()
 
 
-def links(docs: DataFrame, members: DataFrame, settings: JaccardSettings) -> DataFrame:
-    """a, b: links between representatives that connect each component of similar sets."""
+def links(docs: DataFrame, members: DataFrame, settings: JaccardSettings, every: bool = False) -> DataFrame:
+    """a, b: links between representatives that connect each component of similar sets,
+    or with ``every`` all links between them, each once."""
     percent = settings.percent
     lists = stage(postings(members, percent), "lists")
     close = F.col("gap") <= F.col("nx") + F.col("ny") - 2 * _least(F.col("nx"), F.col("ny"), percent)
     first = stage(leader_pairs(lists, percent), "leader-pairs")
     known = stage(compare(first, docs, members, settings), "leader-answers")
     near = known.filter(close).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    roots = components(near).select(F.col("node").alias("sid"), "root")
-    rest = other_pairs(lists, stage(roots, "roots"), percent).join(known.select("x", "y"), ["x", "y"], "left_anti")
+    if every:
+        rest = every_pair(lists, percent)
+    else:
+        roots = components(near).select(F.col("node").alias("sid"), "root")
+        rest = other_pairs(lists, stage(roots, "roots"), percent)
+    rest = rest.join(known.select("x", "y"), ["x", "y"], "left_anti")
     rest = stage(derive(stage(rest, "other-pairs"), known, percent), "derived")
     derived = rest.filter("link").select(F.col("x").alias("a"), F.col("y").alias("b"))
     found = compare(rest.filter("link IS NULL").drop("link"), docs, members, settings).filter(close)
@@ -313,12 +338,9 @@ def classes(docs: DataFrame, settings: JaccardSettings) -> tuple[DataFrame, Data
     return rows, stage(same, "set-classes")
 
 
-def similar(docs: DataFrame, settings: JaccardSettings | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of ``docs``."""
-    settings = settings or JaccardSettings()
-    rows, same = classes(docs, settings)
-    members = rows.join(same.select(F.col("sid").alias("place"), "sid").hint("merge"), "place")
-    joined = stage(components(links(docs, members, settings)), "components")
+def _labelled(rows: DataFrame, same: DataFrame, found: DataFrame) -> DataFrame:
+    """set_key, doc_id, n_shingles, component_id of ``rows`` by the links in ``found``."""
+    joined = stage(components(found), "components")
     labels = same.join(joined.select(F.col("node").alias("sid"), "root"), "sid")
     least = labels.groupBy("root").agg(F.min("low").alias("least"))
     linked = labels.join(least, "root").select("set_key", F.col("least").alias("_least"))
@@ -327,7 +349,35 @@ def similar(docs: DataFrame, settings: JaccardSettings | None = None) -> DataFra
     )
     narrow = rows.select("doc_id", "n_shingles", "set_key")
     return narrow.join(known, "set_key", "left").select(
-        "doc_id", "n_shingles", F.coalesce("_component", "doc_id").alias("component_id")
+        "set_key", "doc_id", "n_shingles", F.coalesce("_component", "doc_id").alias("component_id")
+    )
+
+
+def _members(rows: DataFrame, same: DataFrame) -> DataFrame:
+    return rows.join(same.select(F.col("sid").alias("place"), "sid").hint("merge"), "place")
+
+
+def similar(docs: DataFrame, settings: JaccardSettings | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of ``docs``."""
+    settings = settings or JaccardSettings()
+    rows, same = classes(docs, settings)
+    return _labelled(rows, same, links(docs, _members(rows, same), settings)).drop("set_key")
+
+
+def counted(docs: DataFrame, settings: JaccardSettings | None = None) -> DataFrame:
+    """``similar`` with n_links: how many other rows have an equal or a similar set."""
+    settings = settings or JaccardSettings()
+    rows, same = classes(docs, settings)
+    found = links(docs, _members(rows, same), settings, every=True)
+    sizes = rows.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.count("*").alias("size"))
+    sized = stage(same.select("set_key", "sid").join(sizes, "set_key"), "class-sizes")
+    either = found.union(found.select("b", "a"))
+    far = either.join(sized.select(F.col("sid").alias("b"), "size"), "b").groupBy("a").agg(F.sum("size").alias("far"))
+    totals = sized.join(far.withColumnRenamed("a", "sid"), "sid", "left").select(
+        "set_key", (F.col("size") - 1 + F.coalesce("far", F.lit(0).cast("long"))).alias("n_links")
+    )
+    return _labelled(rows, same, found).join(totals, "set_key", "left").select(
+        "doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
     )
 
 
