@@ -125,6 +125,24 @@ def test_main_text(body, want):
     assert pages.main_text(PAGE.format(body)) == want
 
 
+LONG_TEXT = "It was the best of the times and it was the worst of them, as all of us know from the book."
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<body class='has-sidebar with-comments'><p>{LONG_TEXT}</p></body>", LONG_TEXT),
+        (f"<body class='sidebar'><article class='social-post'><p>{LONG_TEXT}<p>So.</article></body>", f"{LONG_TEXT}\nSo."),
+        (f"<div id='page' class='no-sidebar'><main class='has-cookie-banner'><p>{LONG_TEXT}</p></main></div>", LONG_TEXT),
+        (f"<div class='content-sidebar-wrap'><p>{LONG_TEXT}</p><div class='sidebar-left'><p>{LONG_TEXT}</p></div></div>", LONG_TEXT),
+        (f"<div class='social-post'><p>{LONG_TEXT}</p><p>So.</p></div><div class='social-proof'>Tweet</div>", f"{LONG_TEXT}\nSo."),
+        (f"<p>{LONG_TEXT}</p><div class='cookie-notice'><p>{LONG_TEXT}</p></div><div id='comments'><p>{LONG_TEXT}</p></div>", LONG_TEXT),
+    ],
+)
+def test_names_of_states_do_not_hide_the_article(page, want):
+    assert pages.main_text(f"<html class='no-overlay'>{page}</html>") == want
+
+
 def test_pages(spark, tiny):
     source = table(spark, tiny, "pages")
     odd = spark.createDataFrame([(-1, None, None), (None, "u", ""), (-2, "u", "<p>" * 3000 + "x"), (-2, "u", "<a b='" * 2000)], source.schema)

@@ -10,6 +10,12 @@ decided ones are good. Blocks that are bad by their container, and lists of link
 inside an article, do not pass their label on. Where a page marks its article (``article`` or ``main``),
 blocks outside it are bad.
 
+A class or id names a bad container when its head word is a bad name (``cookie-notice``,
+``sidebar-left``). Words behind has, no or with are states of something else, names
+whose head is another word (``social-post``) are only doubtful, and no class or id rules
+out a whole page, article or main part. Blocks in a doubtful container count when their
+words say so, short ones by their neighbours in the same container.
+
 One pass over the pages, no shuffle. Results for odd rows: a null or empty page has an
 empty text; repeated rows get equal results; null ids and urls are kept; an empty table
 gives an empty result; other columns play no part.
@@ -55,6 +61,17 @@ BAD_NAMES = frozenset(
     "social related recommended newsletter subscribe subscription signup login widget pagination pager toolbar "
     "skip hidden masthead topbar".split()
 )
+#: In front of the state of another part of the page.
+STATES = frozenset("has have no not with without is hide hides show shows enable enabled disable disabled".split())
+#: Behind the head word of a name.
+LAYOUT = frozenset(
+    "left right top bottom primary secondary list item items box wrap wrapper container inner outer content body area "
+    "section block bar link links slot unit text title form row column col panel group button buttons icon icons".split()
+)
+#: In front of a bad name: a container of both.
+WHOLE = frozenset("content main article post entry page layout".split())
+#: Elements that no class or id makes bad.
+UNNAMED = frozenset("html body main article".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 REGIONS = frozenset(("article", "main"))
 TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
@@ -70,13 +87,15 @@ TEXTS = "page_id long, url string, text string, n_chars long"
 @dataclass
 class Block:
     """Decoded text, characters inside links, whether its containers are bad, the number
-    of the region it is in (0: none), and whether it is a heading."""
+    of the region it is in (0: none), whether it is a heading, and the number of the
+    doubtful container it is in (0: none)."""
 
     text: str
     linked: int
     bad: bool
     region: int
     heading: bool = False
+    doubt: int = 0
 
 
 @dataclass
@@ -86,6 +105,7 @@ class _Open:
     name: str
     bad: bool
     region: int
+    doubt: int = 0
 
 
 @dataclass
@@ -96,6 +116,7 @@ class _Reader:
     linked: int = 0
     links: int = 0
     regions: int = 0
+    doubts: int = 0
     breaks: int = 0
     current: str = ""
 
@@ -103,7 +124,7 @@ class _Reader:
         text = " ".join("".join(self.parts).split())
         if text:
             top = self.stack[-1] if self.stack else _Open("", False, 0)
-            self.blocks.append(Block(text, self.linked, top.bad, top.region, self.current in HEADINGS))
+            self.blocks.append(Block(text, self.linked, top.bad, top.region, self.current in HEADINGS, top.doubt))
         self.parts, self.linked, self.breaks, self.current = [], 0, 0, ""
 
     def add(self, raw: str) -> None:
@@ -132,13 +153,17 @@ class _Reader:
         if name in VOID or name == "p" or attributes.endswith("/"):
             return
         top = self.stack[-1] if self.stack else _Open("", False, 0)
-        bad, region = top.bad, top.region
+        bad, region, doubt = top.bad, top.region, top.doubt
         if not bad:
-            bad = name in BAD_TAGS or (name == "header" and not region) or _is_bad(attributes, bool(region))
+            named = _named(attributes, bool(region)) if name not in UNNAMED else 0
+            bad = name in BAD_TAGS or (name == "header" and not region) or named == 2 or _is_bad(attributes)
+            if named == 1:
+                self.doubts += 1
+                doubt = self.doubts
         if name in REGIONS and not region and not bad:
             self.regions += 1
-            region = self.regions
-        self.stack.append(_Open(name, bad, region))
+            region, doubt = self.regions, 0
+        self.stack.append(_Open(name, bad, region, doubt))
 
     def close(self, name: str) -> None:
         if name in BLOCKS:
@@ -153,17 +178,32 @@ class _Reader:
                 break  # a stray inline end tag does not close blocks
 
 
-def _is_bad(attributes: str, inside: bool) -> bool:
-    """Whether names, role or style mark a container that holds no article text."""
-    if not attributes.strip():
-        return False
-    for match in ATTRIBUTE.finditer(attributes):
-        key = match.group(1).lower()
-        value = (match.group(2) or match.group(3) or match.group(4) or "").lower()
-        if key in ("class", "id") and BAD_NAMES & set(NAME.findall(value)):
-            return True
-        if key in ("class", "id") and not inside and "header" in NAME.findall(value):
-            return True
+def _attributes(attributes: str) -> Iterator[tuple[str, str]]:
+    for match in ATTRIBUTE.finditer(attributes) if attributes.strip() else ():
+        yield match.group(1).lower(), (match.group(2) or match.group(3) or match.group(4) or "").lower()
+
+
+def _named(attributes: str, inside: bool) -> int:
+    """2 if a class or id names a container without article text, 1 if it may, else 0."""
+    names = BAD_NAMES if inside else BAD_NAMES | {"header"}
+    worst = 0
+    for key, value in _attributes(attributes):
+        for token in value.split() if key in ("class", "id") else ():
+            words = NAME.findall(token)
+            if not names.intersection(words):
+                continue
+            if STATES.intersection(words):
+                continue
+            while len(words) > 1 and words[-1] in LAYOUT and words[-1] not in names:
+                words.pop()
+            sure = words[-1] in names and not WHOLE.intersection(words)
+            worst = max(worst, 2 if sure else 1)
+    return worst
+
+
+def _is_bad(attributes: str) -> bool:
+    """Whether role or style mark a container that holds no article text."""
+    for key, value in _attributes(attributes):
         if key == "role" and value in BAD_ROLES:
             return True
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and HIDDEN.search(value)):
@@ -244,6 +284,8 @@ def label(blocks: list[Block]) -> list[bool]:
             out.append(own)
             continue
         near = [decided[k] for k in (before - 1, before) if 0 <= k < len(decided) and blocks[decided[k]].region == blocks[i].region]
+        if blocks[i].doubt:
+            near = [k for k in near if blocks[k].doubt == blocks[i].doubt]
         labels = {first[k] for k in near}
         if len(labels) == 1:
             out.append(bool(labels.pop()))
@@ -251,7 +293,7 @@ def label(blocks: list[Block]) -> list[bool]:
             distance = {bool(first[k]): abs(k - i) for k in near}
             out.append(distance[True] <= distance[False])
         else:
-            out.append(True)
+            out.append(not blocks[i].doubt)
     return out
 
 
