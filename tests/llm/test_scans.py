@@ -72,6 +72,14 @@ def test_licence_families(spark):
     assert licences.licences(empty).count() == 0
 
 
+def test_licences_in_words_of_ordinary_text(spark):
+    """The first documents use the words of a notice, but not as a notice."""
+    plain = "The person reserved a room. Our rights are many. All of it was granted. We had permission of the source."
+    rows = [(i, plain) for i in range(40)] + [(900 + i, plain) for i in range(400)] + [(5000, "All rights reserved.")]
+    got = {r.doc_id: r for r in licences.licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[5000].families == "reserved" and got[0].families == ""
+
+
 def test_quotes_are_linked_and_removed(spark):
     rows = [
         (1, 0, "u", "Hello there.\nHow are you?"), (1, 1, "a", "> hello  THERE.\nFine!"), (1, 2, "u", ">> Hello there.\n> Fine!\nGood."),
