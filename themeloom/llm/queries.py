@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from themeloom.llm import exact, jaccard, licences, mixing, packing, pages, quality, quoting, secret_scan, substrings
+from themeloom.llm import (
+    aligning, exact, jaccard, licences, mixing, order_minhash, packing, pages, quality, quoting, secret_scan, substrings,
+    whitening,
+)
 from themeloom.llm.inputs import table
 
 
@@ -51,10 +54,23 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligning.alignment(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_secret_scan, op3_exact_dedup, op4_mixing, op5_packing, op6_licence_scan,
         op7_quotation_linking, op8_quality_rules, op9_jaccard_join, op10_html_extraction,
+        op11_order_minhash, op12_token_alignment, op13_whitening,
     )
 }
