@@ -175,21 +175,84 @@ def test_spanning_tree_is_minimal(spark, ms, small_graph):
     assert len(got) == len(x) - 1 and np.allclose(got, prim(x, ms), atol=1e-12)
 
 
-def test_density_finds_blobs_whatever_the_chunks(spark):
-    x = blobs()
-    pts = points(spark, x)
-    tree = spanning.spanning_tree(pts)
-
-    def label(chunk):
-        rows = density.condense(pts, tree, {0: 8}, chunk_edges=chunk).orderBy("pid").collect()
-        names = [r.label for r in rows]
-        return [sorted(i for i, n in enumerate(names) if n == c) for c in sorted(set(names) - {None}, key=str)]
-
-    whole = sorted(label(10_000))
-    assert whole == sorted(label(25))
-    assert len(whole) == 3
-    for members, start in zip(whole, (0, 40, 80)):
-        assert len([m for m in members if start <= m < start + 40]) >= 36
+def plain_clusters(x, w, least):
+    """HDBSCAN* from the top down: the dendrogram is cut open from its root, and a
+    cluster is chosen if it is as stable as the chosen ones below it."""
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    pairs = sorted((d[i, j], i, j) for i in range(len(x)) for j in range(i + 1, len(x)))
+    tree, name = {}, list(range(len(x)))
+    members, height = {i: [i] for i in range(len(x))}, {}
+    for gap, i, j in pairs:
+        a, b = name[i], name[j]
+        if a == b:
+            continue
+        new = len(x) + len(tree)
+        tree[new], height[new] = (a, b), gap
+        members[new] = members[a] + members[b]
+        for m in members[new]:
+            name[m] = new
+    weight = lambda node: sum(int(w[m]) for m in members[node])
+
+    def walk(node, birth):
+        """(stability of the best choice, its clusters) of the cluster that starts here."""
+        mass = 0.0
+        own = members[node]
+        while node in tree:
+            level = 1 / max(height[node], 1e-12)
+            sides = [s for s in tree[node] if weight(s) >= least]
+            if len(sides) == 2:
+                mass += weight(node) * (level - birth)
+                below = [walk(s, level) for s in sides]
+                total = sum(b[0] for b in below)
+                return (mass, [own]) if mass >= total else (total, [c for b in below for c in b[1]])
+            mass += sum(weight(s) for s in tree[node] if s not in sides) * (level - birth)
+            if not sides:
+                return mass, [own]
+            node = sides[0]
+        return mass + weight(node) * (1e12 - birth), [own]
+
+    root = len(x) + len(tree) - 1
+    while root in tree:
+        level = 1 / max(height[root], 1e-12)
+        sides = [s for s in tree[root] if weight(s) >= least]
+        if len(sides) == 2:
+            return sorted(sorted(c) for s in sides for c in walk(s, level)[1])
+        if not sides:
+            return []
+        root = sides[0]
+    return []
+
+
+def weighted_tree(seed):
+    """Points of several densities, their copies and their spanning tree."""
+    rng = np.random.default_rng(seed)
+    centers = rng.uniform(-12, 12, (4, 2))
+    x = np.concatenate([*[rng.normal(c, rng.uniform(0.3, 2), (22, 2)) for c in centers], rng.uniform(-15, 15, (30, 2))])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    inside, edges = [0], []
+    while len(inside) < len(x):
+        gap = d[inside].copy()
+        gap[:, inside] = np.inf
+        i, j = np.unravel_index(gap.argmin(), gap.shape)
+        edges.append((seed, int(min(inside[i], j)), int(max(inside[i], j)), float(gap[i, j])))
+        inside.append(int(j))
+    return x, rng.choice([1, 1, 1, 1, 2, 3], len(x)), edges
+
+
+def test_condensed_tree_equals_plain_version_for_any_bound(spark):
+    made = [weighted_tree(seed) for seed in range(10)]
+    least = {seed: 4 + seed % 4 for seed in range(10)}
+    points = [(seed, i, int(n)) for seed, (_, w, _) in enumerate(made) for i, n in enumerate(w)]
+    pts = spark.createDataFrame(points, "run int, pid long, w long")
+    tree = spark.createDataFrame([e for *_, edges in made for e in edges], "run int, lo long, hi long, d double")
+    want = {seed: plain_clusters(x, w, least[seed]) for seed, (x, w, _) in enumerate(made)}
+    # Small bounds contract the trees, and their longest chains have several slices.
+    for bound in (100_000, 40, 8):
+        groups = {seed: {} for seed in range(10)}
+        for r in density.condense(pts, tree, least, bound=bound).collect():
+            groups[r.run].setdefault(r.label, []).append(r.pid)
+        got = {seed: sorted(sorted(g) for label, g in found.items() if label is not None) for seed, found in groups.items()}
+        assert got == want, bound
 
 
 def test_density_clusters_with_copies_and_tiny_input(spark):
@@ -223,3 +286,27 @@ def test_quality_measures(spark):
     assert evaluate.davies_bouldin(df).head().davies_bouldin == pytest.approx(np.mean(worst), abs=1e-9)
     sweep = evaluate.kmeans_sweep(df, 2, 4, 1, n_init=2, vector="embedding")
     assert evaluate.best_k(sweep).head().k == 3
+    assert {r.k: r.score for r in sweep.collect()}[3] == pytest.approx(np.mean(s), abs=1e-9)
+
+
+def test_silhouettes_of_many_labelings(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(70, 4)).astype(np.float32)
+    labels = [np.arange(70) % 3, (np.arange(70) // 50), np.where(np.arange(70) == 0, 0, 1 + np.arange(70) % 2)]
+    rows = [(i, [float(a) for a in v], [int(c[i]) for c in labels]) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "seq long, embedding array<double>, labels array<int>")
+    got = evaluate.silhouettes(df, "labels", [3, 2, 3], block_rows=20).collect()
+    d = np.sqrt(((x[:, None].astype(float) - x[None]) ** 2).sum(-1))
+    for r in got:
+        own = labels[r.labeling]
+        each = []
+        for i in range(70):
+            if (own == own[i]).sum() == 1:
+                each.append(0.0)
+                continue
+            a = d[i][own == own[i]].sum() / ((own == own[i]).sum() - 1)
+            b = min(d[i][own == c].mean() for c in set(own) if c != own[i])
+            each.append((b - a) / max(a, b))
+        assert r.silhouette == pytest.approx(np.mean(each), abs=1e-9) and r.n_members == 70
+        single = df.withColumn("cluster_id", df.labels[r.labeling])
+        assert evaluate.silhouette(single, block_rows=20).head().silhouette == pytest.approx(np.mean(each), abs=1e-9)
