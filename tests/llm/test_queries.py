@@ -7,17 +7,18 @@ import corpus_pipeline
 from themeloom.llm.inputs import table
 from themeloom.llm.queries import QUERIES
 
-ROWS = {"op7_quotation_linking": "conversations", "op10_html_extraction": "pages"}
+ROWS = {"op7_quotation_linking": "conversations", "op10_html_extraction": "pages", "op13_whitening": "embeddings"}
 
 
 def test_registry():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(driver.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_has_a_row_for_each_input(spark, tiny, name):
-    assert QUERIES[name](spark, tiny).count() == table(spark, tiny, ROWS.get(name, "documents")).count()
+    each = 4 if name == "op13_whitening" else 1
+    assert QUERIES[name](spark, tiny).count() == each * table(spark, tiny, ROWS.get(name, "documents")).count()
 
 
 def test_pipeline(spark, tiny):
