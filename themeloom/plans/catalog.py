@@ -6,6 +6,7 @@ doubles, and every order has a tie-break, so results compare by value.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -15,13 +16,13 @@ from pyspark.sql import functions as F
 from themeloom.functions import coerce, measures, text
 from themeloom.operators import (
     annotate, centroids, cleaning, density, embed, evaluate, explore, language, neardup,
-    projection, quotes, report, sampling, scoring, sentiment,
+    projection, quotes, report, sampling, scoring, sentiment, textindex,
 )
 from themeloom.plans import tables
 from themeloom.plans.flow import analyse
-from themeloom.runtime import stage
+from themeloom.runtime import shared_folder, stage
 from themeloom.schema import NOISE
-from themeloom.sources import adapters, raw, readers
+from themeloom.sources import adapters, raw, readers, sinks, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -116,9 +117,42 @@ def starters_only(spark, sf):
     return raw.conversation_starters(turns, "reply_to", 5).select("conv_id", "turn")
 
 
+def _folder(spark, name: str) -> str:
+    """A new folder that all executors reach."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 @query
 def largest_file(spark, sf):
-    return readers.list_files(spark, sf, "*.parquet")
+    """Exports the documents by source, finds the largest export and reads that one."""
+    path = _folder(spark, "exports")
+    lines = tables.table(spark, sf, "documents").select(F.format_string("%020d", "doc_id").alias("line"), "source")
+    sinks.write_by(lines, "source", path)
+    largest = readers.folder_sizes(spark, path).first()
+    rows = spark.read.schema("line string").csv(largest.folder)
+    source = F.lit(largest.folder.rsplit("source=", 1)[1])
+    return rows.groupBy(source.alias("source")).agg(
+        F.count("*").alias("n_rows"), F.lit(largest.n_bytes).cast("bigint").alias("n_bytes"),
+        F.max(F.col("line").cast("bigint")).alias("last_id"),
+    )
+
+
+@query
+def dataset_store(spark, sf):
+    """Datasets by language, one of which is replaced and one that fails to be, as listed
+    by the manifest and as read back."""
+    docs = tables.table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
+    held = store.DatasetStore(spark, _folder(spark, "store"))
+    name = text.slug(F.concat(F.col("lang"), F.lit(" Feedback")))
+    held.write(docs, name)
+    held.write(docs.filter("lang = 'en' AND doc_id % 2 = 0"), name)
+    try:
+        held.write(docs.withColumn("text", F.raise_error(F.lit("lost"))), F.when(F.col("lang") == "de", name))
+    except Exception as lost:  # the write that is meant to fail
+        if "lost" not in str(lost):
+            raise
+    back = held.read().groupBy("dataset").agg(F.count("*").alias("n_read"), F.max("doc_id").alias("last_id"))
+    return held.datasets().join(back, "dataset").select("dataset", "n_rows", "n_read", "last_id")
 
 
 @query
@@ -395,6 +429,16 @@ def silhouette(spark, sf):
     return evaluate.silhouette(_vectors(spark, sf)).select(r4("silhouette"), "n_members")
 
 
+@query
+def silhouette_sweep(spark, sf):
+    """Silhouettes of three labelings of the vectors, from the same distances."""
+    labels = F.array((F.col("cluster_id") + 1) % 3, F.col("seq") % 4, F.when(F.col("seq") < 7, 0).otherwise(1))
+    rows = _vectors(spark, sf).filter("cluster_id >= -1").withColumn("labels", labels.cast("array<int>"))
+    return evaluate.silhouettes(rows, "labels", [3, 4, 2]).select(
+        F.col("labeling").cast("bigint").alias("labeling"), r4("silhouette"), "n_members"
+    )
+
+
 @query
 def silhouette_linear(spark, sf):
     """The squared-distance silhouette, whose work is linear in the rows."""
@@ -653,6 +697,36 @@ def insights_roundtrip(spark, sf):
     ).select("cluster_id", "priority_score", "per_source_counts", F.col("q.id").alias("quote_id"))
 
 
+def _insight_files(spark, sf) -> str:
+    """Folder of the insights as JSON lines, with a broken line in a file of its own."""
+    _, insights = stored(spark, sf)
+    path = _folder(spark, "insights")
+    sinks.write_insights(insights, path)
+    broken = insights.orderBy("cluster_id").limit(1).select(F.substring(F.to_json(F.struct("*")), 1, 40).alias("value"))
+    broken.write.mode("append").text(path)
+    return path
+
+
+@query
+def insight_files(spark, sf):
+    """Insights written as JSON files and read back by their schema; a broken line
+    becomes a row of its own."""
+    back = readers.read_records(spark, _insight_files(spark, sf), stored(spark, sf)[1].schema)
+    return back.select(
+        "cluster_id", "analysis.theme_name", "confidence.badge", F.col("confidence.n_items").cast("bigint").alias("n_items"),
+        r4("priority_score"), F.col("_broken").isNotNull().alias("broken"),
+    )
+
+
+@query
+def insight_csv(spark, sf):
+    """The insight table as a CSV file and back."""
+    path = _folder(spark, "insight-table")
+    sinks.write_csv(insight_table(spark, sf), path)
+    back = readers.read_csv(spark, path)
+    return back.select("rank", "theme", F.col("items").cast("bigint").alias("items"), "confidence", "sources", "citations_ok", F.col("cluster_id").cast("int").alias("cluster_id"))
+
+
 @query
 def run_stats(spark, sf):
     rows = cleaning.tag_drops(cleaning.add_clean_text(tables.feedback(spark, sf)))
@@ -715,6 +789,32 @@ def search(spark, sf):
     )
 
 
+_INDEXES: dict[tuple, textindex.TextIndex] = {}
+
+
+def _index(spark, sf) -> textindex.TextIndex:
+    """The trigram index of the stored corpus, as written once for all searches."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        _INDEXES[key] = textindex.TextIndex.build(_themed(spark, sf), f"{shared_folder(spark)}/text-index-{uuid.uuid4().hex}")
+    return _INDEXES[key]
+
+
+@query
+def search_indexed(spark, sf):
+    """The rows of ``search``, of which only those with the pattern's rarest trigrams are read."""
+    pattern = "th(e|at) .*with"
+    return explore.search(_index(spark, sf).fetch(spark, pattern), pattern).select(
+        "id", "source", "theme", "rating", r4("sentiment"), stamp()
+    )
+
+
+@query
+def search_unicode_indexed(spark, sf):
+    pattern = "ÉMENT|ÜCHT|ÑAS"
+    return explore.search(_index(spark, sf).fetch(spark, pattern), pattern).select("id", "source", "theme")
+
+
 @query
 def fold_themes(spark, sf):
     return explore.fold_themes(_themed(spark, sf), 4).groupBy("theme_view").agg(F.count("*").alias("n_items"))

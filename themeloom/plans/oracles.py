@@ -408,6 +408,17 @@ ORACLES: dict[str, str] = {
           FROM (SELECT x.seq, x.cluster_id AS own, y.cluster_id AS other, count(*) AS n,
                        sum(list_distance(x.embedding::DOUBLE[], y.embedding::DOUBLE[])) AS t
                 FROM vec x JOIN vec y ON y.cluster_id <> -1 WHERE x.cluster_id <> -1 GROUP BY ALL) GROUP BY seq)"""),
+    "silhouette_sweep": """
+        WITH l AS (SELECT vec_id, embedding::DOUBLE[] AS e, [(label + 1) % 3, vec_id % 4, CASE WHEN vec_id < 7 THEN 0 ELSE 1 END] AS labels
+                   FROM embeddings),
+        pair AS (SELECT x.vec_id, x.labels AS a, y.labels AS b, list_distance(x.e, y.e) AS d FROM l x CROSS JOIN l y),
+        flat AS (SELECT vec_id, unnest(a) AS own, unnest(b) AS other, unnest([0, 1, 2]) AS labeling, d FROM pair),
+        sums AS (SELECT labeling, vec_id, own, other, count(*) AS n, sum(d) AS t FROM flat GROUP BY ALL)
+        SELECT labeling::BIGINT AS labeling, count(*) AS n_members,
+               round(avg(CASE WHEN n_own = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 4) AS silhouette FROM (
+          SELECT labeling, vec_id, max(n) FILTER (own = other) AS n_own, max(t / (n - 1)) FILTER (own = other) AS a,
+                 min(t / n) FILTER (own <> other) AS b
+          FROM sums GROUP BY labeling, vec_id) GROUP BY labeling""",
     "davies_bouldin": _q(VEC + ["dims"], """
         , means AS (SELECT cluster_id, list(x ORDER BY d) AS c FROM dims GROUP BY cluster_id),
         spread AS (SELECT v.cluster_id, m.c, avg(list_distance(v.embedding::DOUBLE[], m.c)) AS s
@@ -491,6 +502,18 @@ ORACLES: dict[str, str] = {
           '- **Check theme ' || i.cluster_id || '** (effort: ' || effort || ') — Seen in feedback', '', '**Evidence sample:**', e.ev, ''], chr(10)) AS block
         FROM ins i JOIN (SELECT cluster_id, string_agg('> ' || substr(text, 1, 300) || ' — _' || source || '_', chr(10) ORDER BY pos) AS ev
                          FROM quotes WHERE pos <= 3 GROUP BY cluster_id) e ON e.cluster_id = i.cluster_id"""),
+    "insight_files": _q(INSIGHT, """
+        SELECT cluster_id, theme_name, badge, n_items, priority_score, false AS broken FROM ins
+        UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, true WHERE EXISTS (SELECT * FROM ins)"""),
+    "insight_csv": _q(INSIGHT, f"""
+        SELECT rank::VARCHAR AS rank, theme_name AS theme, n_items AS items, {_badge} AS confidence, n_sources::VARCHAR AS sources,
+               CASE WHEN passed THEN '✅' ELSE '❌' END AS citations_ok, cluster_id FROM ins"""),
+    "largest_file": """
+        SELECT source, count(*) AS n_rows, 21 * count(*) AS n_bytes, max(doc_id) AS last_id
+        FROM documents GROUP BY source ORDER BY count(*) DESC, source LIMIT 1""",
+    "dataset_store": """
+        SELECT lang || '-feedback' AS dataset, count(*) AS n_rows, count(*) AS n_read, max(doc_id) AS last_id
+        FROM documents WHERE lang <> 'en' OR doc_id % 2 = 0 GROUP BY lang""",
     "workspaces": "SELECT DISTINCT lang || '-feedback' AS workspace FROM documents",
     "filter_insights": _q(INSIGHT, """
         SELECT cluster_id, priority_score FROM ins WHERE n_items >= 30 AND badge = 'ok'
@@ -500,6 +523,9 @@ ORACLES: dict[str, str] = {
     "search_unicode": _q(INSIGHT + ["themed"], "SELECT id, source, theme FROM themed WHERE regexp_matches(text, '(?i)ÉMENT|ÜCHT|ÑAS')"),
     "search": _q(INSIGHT + ["themed"], f"""
         SELECT id, source, theme, rating, round(sentiment, 4) AS sentiment, {TS} FROM themed WHERE regexp_matches(text, '(?i)th(e|at) .*with')"""),
+    "search_indexed": _q(INSIGHT + ["themed"], f"""
+        SELECT id, source, theme, rating, round(sentiment, 4) AS sentiment, {TS} FROM themed WHERE regexp_matches(text, '(?i)th(e|at) .*with')"""),
+    "search_unicode_indexed": _q(INSIGHT + ["themed"], "SELECT id, source, theme FROM themed WHERE regexp_matches(text, '(?i)ÉMENT|ÜCHT|ÑAS')"),
     "fold_themes": _q(INSIGHT + ["themed"], """
         SELECT CASE WHEN theme = 'Unclustered' OR theme IN (SELECT theme FROM themed WHERE theme <> 'Unclustered'
                  GROUP BY theme ORDER BY count(*) DESC, theme LIMIT 4) THEN theme ELSE 'Other themes' END AS theme_view, count(*) AS n_items

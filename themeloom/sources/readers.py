@@ -56,6 +56,18 @@ def list_files(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame
     )
 
 
+def folder_sizes(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
+    """(folder, n_files, n_bytes) of the folders below ``root`` that hold files, largest
+    first: an export of many part files counts as one. Reads no content."""
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    )
+    folder = F.regexp_replace("path", "/[^/]*$", "").alias("folder")
+    return files.groupBy(folder).agg(F.count("*").alias("n_files"), F.sum("length").alias("n_bytes")).orderBy(
+        F.desc("n_bytes"), "folder"
+    )
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deals rows out when a scan has fewer partitions than the cluster has cores.
 
@@ -73,3 +85,13 @@ def read_corpus(spark: SparkSession, path: str, workspace: str | None = None) ->
 
 def read_insights(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).json(path)
+
+
+def read_records(spark: SparkSession, path: str, schema: T.StructType, broken: str = "_broken") -> DataFrame:
+    """JSON lines by an explicit schema. A line that is no such record gives a row of
+    nulls with the line itself in the column ``broken``."""
+    whole = T.StructType([*schema.fields, T.StructField(broken, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": broken}
+    rows = spark.read.schema(whole).options(**options).json(path)
+    # What was parsed before the break is not a record.
+    return rows.select(*[F.when(F.col(broken).isNull(), F.col(c)).alias(c) for c in schema.names], broken)

@@ -24,6 +24,11 @@ def write_insights(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_by(df: DataFrame, column: str, path: str) -> None:
+    """CSV files without a header, in a folder for each value of ``column``."""
+    df.write.mode("overwrite").partitionBy(column).option("escape", '"').csv(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Flat tables only, with a header and doubled quotes."""
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
