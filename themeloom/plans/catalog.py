@@ -23,6 +23,7 @@ from themeloom.plans.flow import analyse
 from themeloom.runtime import shared_folder, stage
 from themeloom.schema import NOISE
 from themeloom.sources import adapters, raw, readers, sinks, store
+from themeloom.streaming import feeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -458,6 +459,71 @@ def cluster_eval(spark, sf):
     return evaluate.cluster_report(_vectors(spark, sf), "embedding").select("metric", r4("value"))
 
 
+# ---------------------------------------------------------------- streams
+
+#: Longer than the test tables reach back, so that no row is too late.
+HORIZON_DAYS = 36_500
+
+
+def _arriving(spark, rows):
+    """A stream of ``rows`` that arrive out of order and in part twice: the later half by
+    event time, then the earlier half, then every seventh row again."""
+    path = _folder(spark, "arrivals")
+    held = stage(rows, "arriving")
+    middle = held.agg(F.percentile_approx(F.col("timestamp").cast("double"), 0.5, 100)).first()[0] or 0.0
+    late = F.coalesce(F.col("timestamp").cast("double") < middle, F.lit(False))
+    for part in (held.filter(~late), held.filter(late), held.filter("pmod(seq, 7) = 0")):
+        part.write.mode("append").parquet(path)
+    files = len(spark.read.schema(rows.schema).parquet(path).inputFiles())
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, files // 3)).parquet(path)
+
+
+def _drained(spark, writer, path):
+    """All that there is goes through the stream, in several micro-batches."""
+    running = writer(path, _folder(spark, "stream-state")).trigger(availableNow=True).start()
+    running.awaitTermination()
+    return path
+
+
+@query
+def stream_clean(spark, sf):
+    """Cleaned feedback as it arrives; what arrives again is passed on once."""
+    rows = tables.feedback(spark, sf).select("id", "seq", "source", "text", "timestamp")
+    cleaned = feeds.clean(_arriving(spark, rows)).dropDuplicates(["id"])
+    path = _drained(spark, lambda p, c: feeds.write_batches(cleaned, p, c, "append"), _folder(spark, "stream-clean"))
+    return spark.read.parquet(path).select("id", F.md5("text_clean").alias("text_md5"))
+
+
+@query
+def stream_first_copies(spark, sf):
+    """The earliest copy of each text, although later copies arrive first."""
+    rows = tables.cleaned(spark, sf).select("seq", "text_clean", "timestamp")
+    found = feeds.earliest_copies(_arriving(spark, rows), HORIZON_DAYS)
+    path = _drained(spark, lambda p, c: feeds.write_batches(found, p, c), _folder(spark, "stream-firsts"))
+    return feeds.latest(spark, path, ["text_key"]).select("seq")
+
+
+@query
+def stream_mentions(spark, sf):
+    """Mentions a day and source, with late rows and without repeated ones."""
+    rows = tables.feedback(spark, sf).filter("timestamp IS NOT NULL").select("id", "seq", "source", "timestamp")
+    daily = feeds.daily_mentions(_arriving(spark, rows), f"{HORIZON_DAYS} days", "id")
+    path = _drained(spark, lambda p, c: feeds.write_batches(daily, p, c), _folder(spark, "stream-mentions"))
+    return feeds.latest(spark, path, ["day", "source"]).select(
+        F.date_format("day", "yyyy-MM-dd").alias("day"), "source", "mentions"
+    )
+
+
+@query
+def stream_assign(spark, sf):
+    """New vectors as they arrive, each with the nearest known theme."""
+    rows = _vectors(spark, sf).withColumn("timestamp", F.timestamp_seconds("seq"))
+    known = centroids.centroids(rows.filter("cluster_id < 7"))
+    arriving = _arriving(spark, rows.filter("cluster_id >= 7").drop("cluster_id")).dropDuplicates(["seq"])
+    path = _drained(spark, lambda p, c: feeds.assign_to_themes(arriving, known, p, c, 0.2), _folder(spark, "stream-assigned"))
+    return spark.read.parquet(path).select("seq", F.col("cluster_id").cast("bigint").alias("cluster_id"))
+
+
 # ---------------------------------------------------------------- signals and scores
 
 

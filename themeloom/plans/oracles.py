@@ -402,6 +402,17 @@ ORACLES: dict[str, str] = {
                    FROM members m JOIN cent c ON m.cluster_id = -1) m JOIN cent c ON c.cluster_id = m.cluster_id GROUP BY m.seq)
         SELECT m.seq, CASE WHEN b.s >= 0.2 THEN b.b ELSE m.cluster_id END::BIGINT AS cluster_id, coalesce(b.s >= 0.2, false) AS from_noise
         FROM members m LEFT JOIN best b ON b.seq = m.seq""",
+    "stream_clean": _q(BASE, "SELECT id, md5(text_clean) AS text_md5 FROM cl"),
+    "stream_first_copies": _q(BASE, f"""
+        SELECT seq FROM cl QUALIFY row_number() OVER (PARTITION BY {TEXT_KEY} ORDER BY ts NULLS LAST, seq) = 1"""),
+    "stream_mentions": _q(["tickets0", "fb"], """
+        SELECT strftime(ts, '%Y-%m-%d') AS day, source, count(*) AS mentions FROM fb WHERE ts IS NOT NULL GROUP BY ALL"""),
+    "stream_assign": "WITH members AS (SELECT vec_id AS seq, embedding, CASE WHEN label >= 7 THEN -1 ELSE label END AS cluster_id FROM embeddings),\n"
+    + f"dims AS ({CTES['dims']}),\ncent AS ({CTES['cent']})" + """
+        SELECT m.seq, CASE WHEN max(cos) >= 0.2 THEN arg_max(m.c_id, cos) ELSE -1 END::BIGINT AS cluster_id FROM (
+          SELECT m.seq, c.cluster_id AS c_id, list_dot_product(m.embedding::DOUBLE[], c.c) AS cos
+          FROM members m CROSS JOIN cent c WHERE m.cluster_id = -1 AND m.seq IN (SELECT vec_id FROM embeddings WHERE label >= 7)) m
+        GROUP BY m.seq""",
     "silhouette": _q(VEC, """
         SELECT round(avg(CASE WHEN n_own = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 4) AS silhouette, count(*) AS n_members FROM (
           SELECT seq, max(n) FILTER (own = other) AS n_own, max(t / (n - 1)) FILTER (own = other) AS a, min(t / n) FILTER (own <> other) AS b

@@ -6,9 +6,13 @@ feedback arrives continuously. Ranking stays a batch job over the written table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from themeloom.functions.text import text_hash
 from themeloom.operators import centroids, cleaning
@@ -30,10 +34,66 @@ def first_copies(stream: DataFrame, horizon: str = "7 days") -> DataFrame:
     return keyed.withWatermark("timestamp", horizon).dropDuplicatesWithinWatermark(["text_key"])
 
 
-def daily_mentions(stream: DataFrame, late: str = "1 day") -> DataFrame:
-    """Mentions per day and source; months are rolled up from days in batch."""
+#: Stands for an unknown event time, which comes after all others.
+NO_TIME = (1 << 63) - 1
+DAY_MS = 86_400_000
+
+
+def earliest_copies(stream: DataFrame, horizon_days: int = 7) -> DataFrame:
+    """(text_key, micros, seq) of the earliest copy of each text by event time (then by
+    ``seq``), whatever the order of arrival: a text is sent again whenever an earlier
+    copy of it turns up. Rows later than the horizon are dropped, and a text leaves the
+    state when that can no longer happen to a copy of it."""
+
+    def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        known = state.get if state.exists else None
+        best = known
+        for batch in batches:
+            least = min(zip(batch["micros"].tolist(), batch["seq"].tolist()))
+            best = least if best is None else min(tuple(best), least)
+        watermark = max(state.getCurrentWatermarkMs(), 0)
+        since = watermark if best[0] == NO_TIME else max(best[0] // 1000, watermark)
+        state.update(best)
+        state.setTimeoutTimestamp(since + horizon_days * DAY_MS)
+        if known is None or best < tuple(known):
+            yield pd.DataFrame([(key[0], *best)], columns=["text_key", "micros", "seq"])
+
+    micros = F.coalesce(F.unix_micros("timestamp"), F.lit(NO_TIME)).alias("micros")
+    keyed = stream.select(text_hash(F.col("text_clean")).alias("text_key"), "timestamp", micros, "seq")
+    return (
+        keyed.withWatermark("timestamp", f"{horizon_days} days").groupBy("text_key")
+        .applyInPandasWithState(
+            keep, "text_key string, micros long, seq long", "micros long, seq long", "update", GroupStateTimeout.EventTimeTimeout
+        )
+    )
+
+
+def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> DataStreamWriter:
+    """Writer of each micro-batch to a folder of its own, so that a replayed batch
+    replaces its earlier output."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint)
+
+
+def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """Of rows written in update mode, the last one of each key."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (*keys, "batch")]), "batch").alias("x"))
+    return last.select(*keys, "x.*")
+
+
+def daily_mentions(stream: DataFrame, late: str = "1 day", once: str | None = None) -> DataFrame:
+    """Mentions per day and source; months are rolled up from days in batch. With
+    ``once``, rows that repeat that key are counted once."""
+    timed = stream.withWatermark("timestamp", late)
     return (
-        stream.withWatermark("timestamp", late)
+        (timed if once is None else timed.dropDuplicatesWithinWatermark([once]))
         .groupBy(F.window("timestamp", "1 day").alias("day"), "source")
         .agg(F.count("*").alias("mentions"))
         .select(F.col("day.start").alias("day"), "source", "mentions")
