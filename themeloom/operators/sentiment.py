@@ -3,7 +3,11 @@
 Tokens with their three predecessors are exploded, joined to the caller's
 lexicon and summed per item. Only lexicon words survive the join and they are
 summed on the map side, so the shuffle carries about one narrow row per item.
-Not modelled from the paper: idioms, emoji names and "least".
+
+Phrases (idioms and other fixed expressions) are found by a join of the word n-grams of
+an item with the caller's phrase table. At each place the longest phrase counts; its
+words become one token with the valence of the phrase, and the words around it act on
+it as on any other. Emoji are spelled out by the caller's table of names before cleaning.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ EXCLAMATION = 0.292
 QUESTION, QUESTION_MAX = 0.18, 0.96
 ALPHA = 15.0
 FADE = (1.0, 0.95, 0.9)
+# "least" turns the next word round, but "at least" and "very least" do not.
+LEAST, LEAST_AFTER = "least", ["at", "very"]
 
 # Fixed word lists.
 NEGATIONS = [
@@ -57,8 +63,61 @@ def _shout(word: Column) -> Column:
     return (word == F.upper(word)) & (word != F.lower(word))
 
 
-def score_tokens(df: DataFrame, lexicon: DataFrame, text_col: str = "text_clean", key: str = "id") -> DataFrame:
-    """(key, sentiment): one row per item that holds a lexicon word.
+def name_emoji(df: DataFrame, emoji: DataFrame, text_col: str = "text") -> DataFrame:
+    """Writes the names of emoji into ``text_col``: ``emoji`` is (emoji, name), one
+    character each, and bounded like any symbol table."""
+    known = emoji.agg(F.map_from_entries(F.collect_list(F.struct("emoji", "name"))).alias("names"))
+    symbol = F.split(F.col(text_col), "")
+    named = F.transform(symbol, lambda c: F.coalesce(F.concat(F.lit(" "), F.col("_names")[c], F.lit(" ")), c))
+    # Only texts with a character outside the basic plane or a symbol are taken apart.
+    odd = F.col(text_col).rlike(r"[\x{10000}-\x{10FFFF}\x{2190}-\x{2BFF}\x{FE0F}]")
+    joined = df.withColumn("_names", known.select("names").scalar())
+    return joined.withColumn(text_col, F.when(odd, F.array_join(named, "")).otherwise(F.col(text_col))).drop("_names")
+
+
+def phrase_spans(items: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
+    """(key, spans): for items (key, low) with phrases, the (at, n) of those that count:
+    from the left, the longest at each place, none inside another."""
+    # Lengths of fixed expressions are few.
+    lengths = sorted(r.n for r in phrases.select(F.size(F.split("phrase", " ")).alias("n")).distinct().collect())
+    none = F.array().cast("array<struct<at:int,n:int,phrase:string>>")
+
+    def grams(n: int) -> Column:
+        gram = lambda i: F.struct(
+            i.alias("at"), F.lit(n).alias("n"), F.array_join(F.slice("low", i + 1, n), " ").alias("phrase")
+        )
+        return F.when(F.size("low") >= n, F.transform(F.sequence(F.lit(0), F.size("low") - n), gram)).otherwise(none)
+
+    found = items.select(key, F.inline(F.concat(none, *[grams(n) for n in lengths]))).join(phrases.select("phrase"), "phrase", "left_semi")
+    spans = found.groupBy(key).agg(F.collect_list(F.struct("at", (-F.col("n")).alias("less"))).alias("s"))  # at most the item's words
+    ends = lambda kept: F.coalesce(F.element_at(kept, -1)["at"] + F.element_at(kept, -1)["n"], F.lit(0))
+    start = F.array().cast("array<struct<at:int,n:int>>")
+    chosen = F.aggregate(F.array_sort("s"), start, lambda kept, x: F.when(
+        x["at"] >= F.when(F.size(kept) > 0, ends(kept)).otherwise(0),
+        F.concat(kept, F.array(F.struct(x["at"].alias("at"), (-x["less"]).alias("n")))),
+    ).otherwise(kept))
+    return spans.select(key, chosen.alias("spans"))
+
+
+def _joined(words: str) -> Column:
+    """The array ``words`` with the words of each span as one."""
+    span = lambda s, j: F.concat(
+        F.slice(words, F.coalesce(F.get("spans", j - 1)["at"] + F.get("spans", j - 1)["n"], F.lit(0)) + 1,
+                s["at"] - F.coalesce(F.get("spans", j - 1)["at"] + F.get("spans", j - 1)["n"], F.lit(0))),
+        F.array(F.array_join(F.slice(words, s["at"] + 1, s["n"]), " ")),
+    )
+    last = F.element_at("spans", -1)["at"] + F.element_at("spans", -1)["n"]
+    whole = F.concat(F.flatten(F.transform("spans", span)), F.slice(words, last + 1, F.size(words) - last))
+    return F.when(F.col("spans").isNull(), F.col(words)).otherwise(whole)
+
+
+def score_tokens(
+    df: DataFrame, lexicon: DataFrame, text_col: str = "text_clean", key: str = "id", phrases: DataFrame | None = None
+) -> DataFrame:
+    """(key, sentiment): one row per item that holds a lexicon word or a phrase.
+
+    ``phrases`` is (phrase, valence): lower-case words without apostrophes, parted by a
+    blank.
 
     ``lexicon`` is (word, valence). The planner broadcasts it only when its
     measured size is below the session's threshold; otherwise the exploded
@@ -73,7 +132,13 @@ def score_tokens(df: DataFrame, lexicon: DataFrame, text_col: str = "text_clean"
         )
         .withColumn("toks", F.split("bare", " "))
         .withColumn("low", F.split(F.replace(F.lower("bare"), F.lit("'"), F.lit("")), " "))
-        .withColumn("but_at", F.array_position("low", F.lit("but")))
+    )
+    if phrases is not None:
+        base = base.join(phrase_spans(base.select(key, "low"), phrases, key), key, "left")
+        base = base.withColumns({"toks": _joined("toks"), "low": _joined("low")})
+        lexicon = lexicon.select("word", "valence").unionByName(phrases.select(F.col("phrase").alias("word"), "valence"))
+    base = (
+        base.withColumn("but_at", F.array_position("low", F.lit("but")))
         # A capital word stands out only among words that are not capital.
         .withColumn("mixed", F.exists("toks", lambda w: ~_shout(w)))
     )
@@ -99,6 +164,8 @@ def score_tokens(df: DataFrame, lexicon: DataFrame, text_col: str = "text_clean"
         value = value + sign * boost * fade
     for d in (1, 2, 3):
         value = value * F.when(F.col(f"p{d}").isin(NEGATIONS), NEGATION_FACTOR).otherwise(1.0)
+    turned = (F.col("p1") == LEAST) & ~F.coalesce(F.col("p2"), F.lit("")).isin(LEAST_AFTER)
+    value = value * F.when(turned, NEGATION_FACTOR).otherwise(1.0)
     place = F.col("i") + 1
     value = value * (
         F.when((F.col("but_at") > 0) & (place < F.col("but_at")), BEFORE_BUT)
@@ -116,7 +183,9 @@ def score_tokens(df: DataFrame, lexicon: DataFrame, text_col: str = "text_clean"
     return sums.select(key, F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), compound)), 4).alias("sentiment"))
 
 
-def add_sentiment(df: DataFrame, lexicon: DataFrame, text_col: str = "text_clean", key: str = "id") -> DataFrame:
+def add_sentiment(
+    df: DataFrame, lexicon: DataFrame, text_col: str = "text_clean", key: str = "id", phrases: DataFrame | None = None
+) -> DataFrame:
     """Adds ``sentiment``; an item without lexicon words scores 0."""
-    scores = score_tokens(df, lexicon, text_col, key)
+    scores = score_tokens(df, lexicon, text_col, key, phrases)
     return df.join(scores, key, "left").withColumn("sentiment", F.coalesce("sentiment", F.lit(0.0)))

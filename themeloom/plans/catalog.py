@@ -533,6 +533,13 @@ def sentiment_scores(spark, sf):
     return sentiment.add_sentiment(rows, tables.lexicon(spark)).select("id", r4("sentiment"))
 
 
+@query
+def sentiment_phrases(spark, sf):
+    """Sentiment with a table of phrases, the longest of which counts at each place."""
+    rows = tables.cleaned(spark, sf).select("id", "text_clean")
+    return sentiment.add_sentiment(rows, tables.lexicon(spark), phrases=tables.phrases(spark)).select("id", r4("sentiment"))
+
+
 @query
 def source_age(spark, sf):
     return scoring.add_source_age(tables.cleaned(spark, sf).select("id", "source", "timestamp")).select("id", r4("age_days"))

@@ -11,7 +11,7 @@ from themeloom.operators.quotes import (
     CLUSTER_PROMPT, PROMPT_VERSION, SYNTHESIS_PROMPT, SYNTHESIS_SYSTEM, SYSTEM_PROMPT,
 )
 from themeloom.operators.sentiment import AMPLIFIERS, DAMPENERS, NEGATIONS
-from themeloom.plans.tables import LEXICON
+from themeloom.plans.tables import LEXICON, PHRASES
 
 
 def _text(value: str) -> str:
@@ -53,6 +53,13 @@ CTES = {
                list_filter(list_transform(string_split(text_clean, ' '),
                    lambda w: regexp_replace(w, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')), lambda w: w <> '') AS toks
         FROM cl""",
+    "joined": """
+        SELECT id, text_clean, string_split(trim(regexp_replace(regexp_replace(
+                 regexp_replace(' ' || array_to_string(toks, '  ') || ' ', '(?i) (%s) ', ' <\\1> ', 'g'),
+                 '<([^ <>]+)  ([^ <>]+)>', '\\1_\\2', 'g'), '<([^ <>]+)  ([^ <>]+)  ([^ <>]+)>', '\\1_\\2_\\3', 'g')), '  ') AS toks
+        FROM tok""" % "|".join(x.replace(" ", "  ") for x, _ in sorted(PHRASES, key=lambda x: -len(x[0].split()))),
+    "phrased": "SELECT * FROM lexicon UNION ALL SELECT * FROM (VALUES "
+    + ", ".join(f"({_text(w.replace(' ', '_'))}, {v}::DOUBLE)" for w, v in PHRASES) + ") t(word, v)",
     "low": """
         SELECT id, toks, list_transform(toks, lambda w: replace(lower(w), '''', '')) AS low,
                least(length(text_clean) - length(replace(text_clean, '!', '')), 4) AS bangs,
@@ -77,6 +84,7 @@ CTES = {
     )
     + ")"
     + "".join(f" * CASE WHEN {p} IN {_list(NEGATIONS)} THEN -0.74::DOUBLE ELSE 1::DOUBLE END" for p in ("p1", "p2", "p3"))
+    + " * CASE WHEN p1 = 'least' AND coalesce(p2, '') NOT IN ('at', 'very') THEN -0.74::DOUBLE ELSE 1::DOUBLE END"
     + """ * CASE WHEN but_at > 0 AND i < but_at THEN 0.5::DOUBLE WHEN but_at > 0 AND i > but_at
            THEN 1.5::DOUBLE ELSE 1::DOUBLE END AS value FROM hit""",
     "mood": """
@@ -218,6 +226,8 @@ CTES = {
         SELECT s.*, coalesce(i.theme_name, 'Unclustered') AS theme FROM sig s LEFT JOIN ins i ON i.cluster_id = s.cluster_id""",
 }
 
+CTES["low_joined"] = CTES["low"].replace("FROM tok", "FROM joined")
+CTES["hit_phrased"] = CTES["hit"].replace("JOIN lexicon", "JOIN phrased")
 SENTIMENT = ["lexicon", "tok", "low", "word", "hit", "val", "mood", "sig"]
 BASE = ["tickets0", "fb", "cleaned", "cl"]
 SIG = BASE + ["flagged"] + SENTIMENT
@@ -235,6 +245,8 @@ def _q(ctes: list[str], sql: str) -> str:
         seen.add(name)
         if name.startswith("members:"):
             parts.append(f"members AS (SELECT * FROM {name.split(':')[1]})")
+        elif ":" in name:
+            parts.append(f"{name.split(':')[0]} AS ({CTES[name.split(':')[1]]})")
         else:
             parts.append(f"{name} AS ({CTES[name]})")
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + sql
@@ -438,6 +450,8 @@ ORACLES: dict[str, str] = {
           SELECT a.cluster_id, max((a.s + b.s) / list_distance(a.c, b.c)) AS worst
           FROM spread a JOIN spread b ON a.cluster_id <> b.cluster_id GROUP BY a.cluster_id)"""),
     "sentiment_scores": _q(SIG, "SELECT id, round(sentiment, 4) AS sentiment FROM sig"),
+    "sentiment_phrases": _q(BASE + ["lexicon", "tok", "joined", "phrased", "low:low_joined", "word", "hit:hit_phrased", "val", "mood"], """
+        SELECT cl.id, round(coalesce(m.sentiment, 0), 4) AS sentiment FROM cl LEFT JOIN mood m ON m.id = cl.id"""),
     "source_age": _q(BASE, """
         SELECT id, round((epoch_us(max(ts) OVER (PARTITION BY source)) - epoch_us(ts)) / 86400000000.0, 4) AS age_days FROM cl"""),
     "severity_prior": _q(SIG, """

@@ -18,6 +18,7 @@ from themeloom.sources.readers import spread
 # Test valences for frequent words of the given texts.
 LEXICON = [("the", -1.5), ("and", 1.2), ("that", -2.1), ("for", 2.4), ("was", -0.8), ("with", 1.9),
            ("les", -1.7), ("une", 2.2), ("und", 1.4), ("der", -1.1)]
+PHRASES = [("of the", 2.6), ("and the", -2.2), ("the and", 0.7), ("and of and", 3.1), ("der und", -1.4)]
 TICKET_SEQ = 1_000_000_000_000
 # Room for the turns of a conversation in a ticket number.
 TURNS = 1_000_000
@@ -31,6 +32,10 @@ def lexicon(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(LEXICON, "word string, valence double")
 
 
+def phrases(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(PHRASES, "phrase string, valence double")
+
+
 def user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", "text")
 
