@@ -165,13 +165,17 @@ def fingerprints(docs: DataFrame, by: OrderMinHash = OrderMinHash()) -> DataFram
     """
     signed = signatures(docs, by)
     follow = neighbours(signed)
-    once = signed.groupBy("number", "tie").agg(F.first("signature").alias("signature"))
-    whole = _keyed(docs).join(once, ["number", "tie"])
+    repeats = not follow.filter("copies > 1").isEmpty()
+    once = signed.select("doc_id", "number", "tie", "signature")
+    if repeats:
+        once = once.groupBy("number", "tie").agg(F.first("doc_id").alias("doc_id"), F.first("signature").alias("signature"))
+    # Both uses of the texts read one exchange of these three columns.
+    whole = _keyed(docs).select("number", "tie", "text").join(once, ["number", "tie"])
     key = [F.col("to_number").alias("number"), F.col("to_tie").alias("tie")]
     heads = whole.join(follow, ["number", "tie"]).select(
         *key, F.left("text", F.col("half")).alias("head"), F.col("signature").alias("next_signature"), "half", "copies"
     )
-    if not follow.filter("copies > 1").isEmpty():
+    if repeats:
         repeated = heads.filter("copies > 1").groupBy("number", "tie").agg(
             *[F.first(c).alias(c) for c in ("head", "next_signature", "half", "copies")]
         )
