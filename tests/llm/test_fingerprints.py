@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import sentencepiece
 from tokenizers import Tokenizer
 
 from themeloom.llm import aligning, order_minhash, whitening
@@ -152,13 +153,14 @@ def test_very_long_text(spark):
 def plain_alignment(docs, files):
     """Everything from sets of ends, with the other library for the byte-level file."""
     a, b = load(files)
+    model = sentencepiece.SentencePieceProcessor(model_file=f"{files.folder}/{files.pieces}")
     coder = Tokenizer.from_file(f"{files.folder}/{files.byte_level}")
     coder.encode_special_tokens = True
     links, out = [], []
     for _, text in docs:
         spaced = " " + (text or "")
         x = coder.encode(spaced, add_special_tokens=False).ids if text else []
-        y = b.encode(text) if text else []
+        y = model.encode(text) if text else []
         if not text or a.spell(x) != spaced.encode() or b.spell(y) != spaced.encode():
             x = y = []
         ends = [np.cumsum([len(v.tokens[i]) for i in ids]).tolist() for v, ids in ((a, x), (b, y))]
@@ -189,7 +191,7 @@ def test_alignment_equals_plain_version(spark, tiny, part_bytes):
     docs = table(spark, tiny, "documents").select("doc_id", "text").limit(80)
     strange = [
         (-1, "<|endoftext|> <s> </s> <unk>"), (-2, "▁under▁"), (-3, "\n\n\t x\u0000   é é 🙂🙂"),
-        (-4, " two  spaces   three "), (-5, "a" * 5000), (-6, "漢字" * 300),
+        (-4, " two  spaces   three "), (-7, "   "), (-8, "a\u00a0b  "), (-9, "x ▁ y"), (-5, "a" * 5000), (-6, "漢字" * 300),
     ]
     docs = docs.union(odd(spark).select("doc_id", "text")).union(spark.createDataFrame(strange, docs.schema))
     got = aligning.alignment(docs, files, part_bytes)
@@ -214,19 +216,27 @@ def test_aligned_ids_give_the_bytes_back(spark, tiny):
         assert (r.a_cuts[-1], r.b_cuts[-1]) == (len(r.a_ids), len(r.b_ids))
 
 
-def test_runs_jump_and_resolve():
+def lengths(ends, kind):
+    found = [b - a for a, b in zip([0, *ends], ends)]
+    return bytes(found) if kind is bytes else found
+
+
+@pytest.mark.parametrize("kind", [bytes, list])
+def test_runs_jump_and_resolve(kind):
+    def cut(a, b):
+        return [tuple(r) for r in aligning.runs(lengths(a, kind), lengths(b, kind)).tolist()]
+
     same = list(range(1, 1001))
-    assert aligning.runs(same, same) == [(0, 1000, 0, 1000, True)]
-    assert aligning.runs([1, 2, 5, 9, 10], [1, 3, 5, 6, 9, 10]) == [
-        (0, 1, 0, 1, True), (1, 3, 1, 3, False), (3, 4, 3, 5, False), (4, 5, 5, 6, True)
-    ]
+    assert cut(same, same) == [(0, 1000, 0, 1000, 1)]
+    assert cut([1, 2, 5, 9, 10], [1, 3, 5, 6, 9, 10]) == [(0, 1, 0, 1, 1), (1, 3, 1, 3, 0), (3, 4, 3, 5, 0), (4, 5, 5, 6, 1)]
     rng = random.Random(5)
-    for _ in range(300):
+    for _ in range(500):
         n = rng.randrange(1, 60)
         a, b = (sorted({*rng.sample(range(1, n + 1), rng.randrange(n + 1)), n}) for _ in range(2))
-        found = aligning.runs(a, b)
+        found = cut(a, b)
         cuts = [e for a0, a1, _, _, one in found for e in (a[a0:a1] if one else a[a1 - 1 : a1])]
         assert cuts == sorted(set(a) & set(b))
+        assert all(x[1] == y[0] and x[3] == y[2] for x, y in zip(found, found[1:]))
 
 
 # ------------------------------------------------------------------ whitening

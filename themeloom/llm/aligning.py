@@ -21,8 +21,7 @@ table gives an empty result; other columns play no part.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -37,75 +36,82 @@ from themeloom.runtime import stage
 #: Bytes of text in a part; a longer document is a part of its own.
 PART_BYTES = 8 << 20
 #: First length that is probed at a shift.
-PROBE = 2
+PROBE = 4
 
-Stretch = tuple[int, int, int, int, bool]
 
+def runs(a: Sequence[int], b: Sequence[int]) -> np.ndarray:
+    """Rows (a0, a1, b0, b1, one to one) of stretches that cover the tokens of both, in
+    order: tokens that match one to one, or a single irregular group.
 
-def runs(a: list[int], b: list[int]) -> list[Stretch]:
-    """(a0, a1, b0, b1, one to one) of stretches that cover both lists of ends, in order:
-    tokens that match one to one, or a single irregular group."""
-    found, i, j, n = [], 0, 0, len(a)
+    ``a`` and ``b`` are the lengths of the tokens of the same bytes, so that from a
+    shared start ends are equal as long as lengths are.
+    """
+    found: list[int] = []
+    i, j, n = 0, 0, len(a)
     while i < n:
         a0, b0 = i, j
-        if a[i] == b[j]:
-            step = 1
-            while i + step <= n and a[i : i + step] == b[j : j + step]:
-                i, j, step = i + step, j + step, step * PROBE
-            while step := step // PROBE:
-                if i + step <= n and a[i : i + step] == b[j : j + step]:
+        left, right = a[i], b[j]
+        if left == right:
+            i, j, step = i + 1, j + 1, PROBE
+            while i < n and a[i : i + step] == b[j : j + step]:
+                i, j, step = i + step, j + step, step * 2
+            while i < n and step > 1:
+                step //= 2
+                if a[i : i + step] == b[j : j + step]:
                     i, j = i + step, j + step
-        else:
-            left, right = a[i], b[j]
-            while left != right:
-                if left < right:
-                    i += 1
-                    left = a[i]
-                else:
-                    j += 1
-                    right = b[j]
-            i, j = i + 1, j + 1
-            found.append((a0, i, b0, j, False))
+            if i > n:  # the last slices were shorter than the step
+                i, j = n, j - (i - n)
+            found += a0, i, b0, j, 1
             continue
-        found.append((a0, i, b0, j, True))
-    return found
+        while left != right:
+            if left < right:
+                i += 1
+                left += a[i]
+            else:
+                j += 1
+                right += b[j]
+        i, j = i + 1, j + 1
+        found += a0, i, b0, j, 0
+    return np.array(found, np.int64).reshape(-1, 5)
+
+
+def _closing(start: np.ndarray, end: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Places of the tokens that close a group: all of a stretch, or the last of a group."""
+    first = np.where(one, start, end - 1)
+    count = end - first
+    before = np.cumsum(count) - count
+    return np.arange(count.sum()) + np.repeat(first - before, count)
 
 
 class Aligned:
-    """One text cut by both vocabularies; without tokens if either changes its bytes."""
+    """One text cut by both vocabularies; without tokens if either changes its bytes.
+    ``at_a`` and ``at_b`` are the places of the tokens that close each group."""
 
     def __init__(self, text: str | None, a: Vocabulary, b: Vocabulary) -> None:
-        self.a_ids: list[int] = []
-        self.b_ids: list[int] = []
-        self.found: list[Stretch] = []
-        if not text:
-            return
-        spaced = " " + text
-        a_ids, b_ids, whole = a.encode(spaced), b.encode(text), spaced.encode()
-        if a.spell(a_ids) != whole or b.spell(b_ids) != whole:
+        self.a_ids = self.b_ids = self.at_a = self.at_b = np.zeros(0, np.int64)
+        if not text or (b_ids := b.cut(text)) is None or (a_ids := a.cut(text)) is None:
             return
         self.a_ids, self.b_ids = a_ids, b_ids
-        self.found = runs(
-            a.sizes[np.array(a_ids)].cumsum().tolist(), b.sizes[np.array(b_ids)].cumsum().tolist()
-        )
-
-    def last(self) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the tokens of A and B that close each group."""
-        at_a = chain.from_iterable(range(a0 if one else a1 - 1, a1) for a0, a1, _, _, one in self.found)
-        at_b = chain.from_iterable(range(b0 if one else b1 - 1, b1) for _, _, b0, b1, one in self.found)
-        return np.fromiter(at_a, np.int64), np.fromiter(at_b, np.int64)
+        found = runs(a.lengths(self.a_ids), b.lengths(self.b_ids))
+        one = found[:, 4] == 1
+        self.at_a = _closing(found[:, 0], found[:, 1], one)
+        self.at_b = _closing(found[:, 2], found[:, 3], one)
 
     def spelled(self, a: Vocabulary, b: Vocabulary) -> str:
-        """Ids of the groups as ``a1,a2|b1;a3|b2,b3``."""
-        left = list(map(a.names.__getitem__, self.a_ids))
-        right = list(map(b.names.__getitem__, self.b_ids))
-        out: list[str] = []
-        for a0, a1, b0, b1, one in self.found:
-            if one:
-                out.extend(map("|".join, zip(left[a0:a1], right[b0:b1], strict=True)))
-            else:
-                out.append(",".join(left[a0:a1]) + "|" + ",".join(right[b0:b1]))
-        return ";".join(out)
+        """Ids of the groups as ``a1,a2|b1;a3|b2,b3``: each id with the mark behind it,
+        put where it belongs."""
+        if not len(self.at_a):
+            return ""
+        parts = np.empty(len(self.a_ids) + len(self.b_ids), object)
+        for ids, at, other, names, mark in (
+            (self.a_ids, self.at_a, np.concatenate([[-1], self.at_b[:-1]]), a.names, "|"),
+            (self.b_ids, self.at_b, self.at_a, b.names, ";"),
+        ):
+            # Tokens of the other text that stand in front of those of each group.
+            place = np.arange(len(ids)) + np.repeat(other + 1, np.diff(at, prepend=-1))
+            parts[place] = names[","][ids]
+            parts[place[at]] = names[mark][ids[at]]
+        return "".join(parts.tolist())[:-1]
 
 
 def aligned(docs: DataFrame, files: VocabularyFiles = VocabularyFiles()) -> DataFrame:
@@ -116,14 +122,13 @@ def aligned(docs: DataFrame, files: VocabularyFiles = VocabularyFiles()) -> Data
         a, b = load(files)
         for batch in batches:
             made = [Aligned(text, a, b) for text in column(batch, "text").to_pylist()]
-            ends = [x.last() for x in made]
             yield pa.RecordBatch.from_arrays(
                 [
                     column(batch, "doc_id"),
                     pa.array([x.a_ids for x in made], pa.list_(pa.int32())),
                     pa.array([x.b_ids for x in made], pa.list_(pa.int32())),
-                    pa.array([at + 1 for at, _ in ends], pa.list_(pa.int64())),
-                    pa.array([at + 1 for _, at in ends], pa.list_(pa.int64())),
+                    pa.array([x.at_a + 1 for x in made], pa.list_(pa.int64())),
+                    pa.array([x.at_b + 1 for x in made], pa.list_(pa.int64())),
                 ],
                 ["doc_id", "a_ids", "b_ids", "a_cuts", "b_cuts"],
             )
@@ -165,10 +170,9 @@ def linked(docs: DataFrame, files: VocabularyFiles = VocabularyFiles(), part_byt
             for row in range(batch.num_rows):
                 text = texts[row].as_py()
                 made = Aligned(text, a, b)
-                at_a, at_b = made.last()
-                codes = np.array(made.a_ids, np.int64)[at_a] * len(b.tokens) + np.array(made.b_ids, np.int64)[at_b]
+                codes = made.a_ids[made.at_a] * len(b.tokens) + made.b_ids[made.at_b]
                 pairs, times = np.unique(codes, return_counts=True)
-                digest = hashlib.sha256(made.spelled(a, b).encode()).hexdigest() if made.found else ""
+                digest = hashlib.sha256(made.spelled(a, b).encode()).hexdigest() if len(codes) else ""
                 rows.append((
                     part, False, ids[row].as_py(), len(made.a_ids), len(made.b_ids), len(codes), digest, pairs, times,
                 ))

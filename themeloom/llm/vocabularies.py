@@ -33,15 +33,21 @@ PRINTABLE = [(0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF)]
 
 @dataclass
 class Vocabulary:
-    """``encode`` gives ids of a text; ``tokens[id]`` are the bytes, ``sizes`` their
-    lengths and ``names`` the ids in decimal."""
+    """``cut`` gives the ids of a space and a text, or none if their tokens are other
+    bytes; ``tokens[id]`` are the bytes, ``sizes`` their lengths, and ``names[mark][id]``
+    is the id in decimal with a mark behind it."""
 
-    encode: Callable[[str], list[int]]
+    cut: Callable[[str], np.ndarray | None]
     tokens: list[bytes]
 
     def __post_init__(self) -> None:
         self.sizes = np.array([len(x) for x in self.tokens], np.int64)
-        self.names = [str(i) for i in range(len(self.tokens))]
+        self.names = {mark: np.array([f"{i}{mark}" for i in range(len(self.tokens))], object) for mark in ",|;"}
+        self.small = self.sizes.astype(np.uint8) if self.sizes.max(initial=0) < 256 else None
+
+    def lengths(self, ids: np.ndarray) -> bytes | list[int]:
+        """Lengths of the tokens, as bytes if they fit."""
+        return self.sizes[ids].tolist() if self.small is None else self.small[ids].tobytes()
 
     def spell(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -66,7 +72,12 @@ def byte_level(path: str) -> Vocabulary:
         raise ValueError(f"{path}: the merges are not in the order of the ids")
     ranks = {token: i for i, token in enumerate(tokens) if token}
     coder = tiktoken.Encoding(path, pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
-    return Vocabulary(coder.encode_ordinary, tokens)
+
+    def cut(text: str) -> np.ndarray:
+        # Every byte is a token and merges only join bytes: these tokens give any text back.
+        return coder.encode_to_numpy(" " + text, disallowed_special=()).astype(np.int64)
+
+    return Vocabulary(cut, tokens)
 
 
 def piece_level(path: str) -> Vocabulary:
@@ -77,7 +88,13 @@ def piece_level(path: str) -> Vocabulary:
         piece = model.id_to_piece(i)
         byte = re.fullmatch("<0x([0-9A-F]{2})>", piece)
         tokens.append(bytes([int(byte[1], 16)]) if byte else piece.replace("▁", " ").encode())
-    return Vocabulary(lambda text: model.encode(text, num_threads=1), tokens)
+
+    def cut(text: str) -> np.ndarray | None:
+        ids = model.encode(text, num_threads=1)
+        same = b"".join(map(tokens.__getitem__, ids)) == (" " + text).encode()
+        return np.fromiter(ids, np.int64, len(ids)) if same else None
+
+    return Vocabulary(cut, tokens)
 
 
 def load(files: VocabularyFiles) -> tuple[Vocabulary, Vocabulary]:
