@@ -40,15 +40,20 @@ def tag_drops(df: DataFrame, min_chars: int = 15, language: str | None = None) -
     return df.withColumn("drop_reason", reason)
 
 
+def drop_counters() -> dict[str, Column]:
+    """Counts of tagged rows, as columns of an aggregate or an observation."""
+    reason = F.col("drop_reason")
+    return {
+        "input": F.count(F.lit(1)),
+        "dropped_too_short": F.count_if(reason == "too_short"),
+        "dropped_wrong_language": F.count_if(reason == "wrong_language"),
+        "output": F.count_if(reason.isNull()),
+    }
+
+
 def clean_stats(tagged: DataFrame) -> DataFrame:
     """One row: input, dropped_too_short, dropped_wrong_language, output."""
-    reason = F.col("drop_reason")
-    return tagged.agg(
-        F.count("*").alias("input"),
-        F.count_if(reason == "too_short").alias("dropped_too_short"),
-        F.count_if(reason == "wrong_language").alias("dropped_wrong_language"),
-        F.count_if(reason.isNull()).alias("output"),
-    )
+    return tagged.agg(*[c.alias(name) for name, c in drop_counters().items()])
 
 
 def keep_clean(tagged: DataFrame) -> DataFrame:

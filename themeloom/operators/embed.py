@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from themeloom.runtime import stage
+from themeloom.sources.keyed import KeyedStore
 
 
 def tfidf(df: DataFrame, text_col: str = "text_clean", n_features: int = 1024) -> DataFrame:
@@ -105,6 +106,22 @@ def embed_with_reuse(
     return keyed.join(vectors, "vector_key", "left"), fresh
 
 
+def embed_with_store(
+    df: DataFrame, store: KeyedStore, encoder: Callable[[DataFrame], DataFrame], model: str, text_col: str = "text_clean"
+) -> tuple[DataFrame, DataFrame]:
+    """``embed_with_reuse`` on a bucketed store, to which the new vectors are added.
+
+    Texts are dealt into the buckets of the store; the store itself is not moved.
+    """
+    texts = store.dealt(df.select(vector_key(model, F.col(text_col)).alias("vector_key"), text_col))
+    texts = texts.groupBy("vector_key").agg(F.min(text_col).alias(text_col))
+    todo = texts.join(store.rows().select("vector_key"), "vector_key", "left_anti")
+    fresh = stage(encoder(todo).select("vector_key", "embedding"), "vectors")
+    store.append(fresh)
+    keyed = store.dealt(df.drop("embedding").withColumn("vector_key", vector_key(model, F.col(text_col))))
+    return keyed.join(store.rows(), "vector_key", "left"), fresh
+
+
 def missing_vectors(df: DataFrame) -> DataFrame:
     """Items without a usable vector; non-empty means the inputs do not match."""
     return df.filter(F.col("embedding").isNull() | (F.size("embedding") == 0)).select("id")

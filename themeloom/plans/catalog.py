@@ -20,9 +20,9 @@ from themeloom.operators import (
 )
 from themeloom.plans import tables
 from themeloom.plans.flow import analyse
-from themeloom.runtime import shared_folder, stage
+from themeloom.runtime import shared_folder, stage, stage_counting
 from themeloom.schema import NOISE
-from themeloom.sources import adapters, raw, readers, sinks, store
+from themeloom.sources import adapters, keyed, raw, readers, sinks, store
 from themeloom.streaming import feeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -363,6 +363,23 @@ def vector_reuse(spark, sf):
     )
 
 
+@query
+def vector_store(spark, sf):
+    """Vectors of the labelled texts are stored; two runs over all texts then encode only
+    what the store lacks, the second nothing."""
+    rows = tables.cleaned(spark, sf).select("seq", "text_clean", "embedding")
+    labels = tables.table(spark, sf, "labels").withColumnRenamed("doc_id", "seq")
+    held = keyed.KeyedStore.create(spark, _folder(spark, "vectors"), "vector_key string, embedding array<float>", "vector_key")
+    fill = lambda texts: texts.withColumn("embedding", F.array(F.length("text_clean").cast("float")))
+    out = []
+    for run, part in enumerate((rows.join(labels, "seq", "left_semi"), rows, rows)):
+        _, fresh = embed.embed_with_store(part, held, fill, "tfidf-1024")
+        out.append(fresh.select(F.lit(run).cast("bigint").alias("run"), "vector_key"))
+    held.compact()
+    stored = held.rows().select(F.lit(-1).cast("bigint").alias("run"), "vector_key")
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(stored)
+
+
 @query
 def centroid_vectors(spark, sf):
     cents = centroids.centroids(_vectors(spark, sf))
@@ -802,15 +819,18 @@ def insight_csv(spark, sf):
 
 @query
 def run_stats(spark, sf):
-    rows = cleaning.tag_drops(cleaning.add_clean_text(tables.feedback(spark, sf)))
-    stats = cleaning.clean_stats(rows)
+    """Counters that are gathered while the stages of a run write their rows."""
+    tagged = cleaning.tag_drops(cleaning.add_clean_text(tables.feedback(spark, sf)))
+    noise = F.count_if(F.col("drop_reason").isNull() & (F.col("cluster_id") == NOISE))
+    rows, counts = stage_counting(tagged, "tagged", **cleaning.drop_counters(), noise=noise)
     kept = cleaning.keep_clean(rows)
-    copies = cleaning.exact_copy_count(kept).select("n_copies").scalar()
-    noise = scoring.noise_stats(kept)
-    return stats.select(
-        "*", copies.alias("exact_copies"),
-        noise.select("n_clusters").scalar().alias("n_clusters"),
-        noise.select("noise_share").scalar().alias("noise_share"),
+    _, unique = stage_counting(cleaning.drop_exact_copies(kept).select("seq"), "unique", n=F.count(F.lit(1)))
+    sizes = kept.filter(F.col("cluster_id") != NOISE).groupBy("cluster_id").count()
+    n = counts["output"]
+    return sizes.agg(
+        *[F.lit(counts[c]).cast("bigint").alias(c) for c in cleaning.drop_counters()],
+        F.lit(n - unique["n"]).cast("bigint").alias("exact_copies"), F.count("*").alias("n_clusters"),
+        F.round(F.lit(counts["noise"] / n if n else 0.0), 4).alias("noise_share"),
     )
 
 

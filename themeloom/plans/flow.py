@@ -14,7 +14,7 @@ from themeloom.operators import (
     annotate, centroids, cleaning, density, embed, language, neardup, projection, quotes, report,
     scoring, sentiment,
 )
-from themeloom.runtime import stage
+from themeloom.runtime import stage, stage_counting
 from themeloom.schema import NOISE
 
 
@@ -52,11 +52,12 @@ def prepare(
         long_enough = rows.filter(F.col("n_chars") >= settings.min_text_chars)
         short = rows.filter(F.col("n_chars") < settings.min_text_chars).withColumn("lang", F.lit(None).cast("string"))
         rows = language.add_language(long_enough, language_model).unionByName(short)
-    tagged = stage(cleaning.tag_drops(rows, settings.min_text_chars, settings.language), "tagged")
-    stats = stage(cleaning.clean_stats(tagged), "clean-stats")
-    counts = stats.head()
+    tagged, counts = stage_counting(
+        cleaning.tag_drops(rows, settings.min_text_chars, settings.language), "tagged", **cleaning.drop_counters()
+    )
     if counts["output"] < settings.minimum_rows:
-        raise ValueError(f"only {counts['output']} usable rows after cleaning: {counts.asDict()}")
+        raise ValueError(f"only {counts['output']} usable rows after cleaning: {counts}")
+    stats = rows.sparkSession.createDataFrame([tuple(counts.values())], ", ".join(f"{name} long" for name in counts))
     unique = stage(cleaning.drop_exact_copies(cleaning.keep_clean(tagged)), "unique")
     # Vectors, flags, clusters and sentiment are narrow tables keyed by seq. The
     # texts move once, in the final join, whose sides share that key.

@@ -398,6 +398,11 @@ ORACLES: dict[str, str] = {
         SELECT k AS vector_key, bool_or(labelled) AS known FROM (
           SELECT sha256(concat_ws(chr(31), 'tfidf-1024', text_clean)) AS k,
                  seq IN (SELECT doc_id FROM labels) AS labelled FROM cl) GROUP BY k"""),
+    "vector_store": _q(BASE, """
+        , k AS (SELECT sha256(concat_ws(chr(31), 'tfidf-1024', text_clean)) AS k, bool_or(seq IN (SELECT doc_id FROM labels)) AS labelled
+                FROM cl GROUP BY 1)
+        SELECT CASE WHEN labelled THEN 0 ELSE 1 END::BIGINT AS run, k AS vector_key FROM k
+        UNION ALL SELECT -1, k FROM k"""),
     "centroid_vectors": _q(VEC + ["dims", "cent"], """
         SELECT cluster_id::BIGINT AS cluster_id, n, dim, round(value, 4) AS value FROM (
           SELECT c.cluster_id, s.n, unnest(c.c) AS value, generate_subscripts(c.c, 1) - 1 AS dim

@@ -11,7 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -66,3 +66,14 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_counting(df: DataFrame, label: str = "stage", **metrics: Column) -> tuple[DataFrame, dict]:
+    """``stage``, and aggregates of the rows that it writes, gathered while it writes.
+
+    They are observed behind the last shuffle, in the tasks that write, each of which
+    counts once however often it is tried.
+    """
+    seen = Observation(label)
+    written = stage(df.observe(seen, *[m.alias(name) for name, m in metrics.items()]), label)
+    return written, seen.get

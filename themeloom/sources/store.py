@@ -53,9 +53,10 @@ class DatasetStore:
         """Replaces each dataset that occurs in ``name`` by its rows; others stay. All
         rows are written in one job, and a null name is left out."""
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
-        df.withColumn("_dataset", name).filter("_dataset IS NOT NULL").write.partitionBy("_dataset").parquet(folder)
-        written = self.spark.read.option("basePath", folder).parquet(folder)
-        fresh = written.groupBy(F.col("_dataset").cast("string").alias("dataset")).agg(
+        named = df.withColumn("_dataset", name.cast("string")).filter("_dataset IS NOT NULL")
+        named.write.partitionBy("_dataset").parquet(folder)
+        written = self.spark.read.schema(named.schema).option("basePath", folder).parquet(folder)
+        fresh = written.groupBy(F.col("_dataset").alias("dataset")).agg(
             F.count("*").alias("n_rows"), F.max(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")).alias("path")
         )
         self._commit(fresh)
