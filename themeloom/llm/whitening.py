@@ -72,11 +72,11 @@ def whole_vectors(rows: DataFrame, vector: str = "embedding") -> DataFrame:
     return made.filter(F.size("x") == (most.d if most else 0))
 
 
-def block_matrix(rows: DataFrame, n: int, d: int) -> BlockMatrix:
+def block_matrix(rows: DataFrame, n: int, d: int, block_rows: int | None = None) -> BlockMatrix:
     """Blocks of (row, values): ``row`` counts from 0 to n - 1."""
     vectors = rows.select(F.col("row").alias("index"), array_to_vector("values").alias("vector"))
     vectors = MLUtils.convertVectorColumnsFromML(vectors, "vector")
-    return IndexedRowMatrix(vectors, n, d).toBlockMatrix(BLOCK_ROWS, BLOCK_COLUMNS)
+    return IndexedRowMatrix(vectors, n, d).toBlockMatrix(block_rows or BLOCK_ROWS, BLOCK_COLUMNS)
 
 
 def scatter(centred: BlockMatrix) -> np.ndarray:
@@ -92,7 +92,7 @@ def scatter(centred: BlockMatrix) -> np.ndarray:
 def project(centred: BlockMatrix, matrix: np.ndarray, spark: SparkSession) -> DataFrame:
     """(row, values): the rows of the matrix times a small one, by blocks; written once."""
     small = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(matrix)], "row long, values array<double>")
-    product = centred.multiply(block_matrix(small, *matrix.shape))
+    product = centred.multiply(block_matrix(small, *matrix.shape, BLOCK_COLUMNS))
     rows = callMLlibFunc("getIndexedRows", product.toIndexedRowMatrix()._java_matrix_wrapper._java_model)
     return stage(rows.select(F.col("index").alias("row"), vector_to_array("vector").alias("values")), "projected")
 
