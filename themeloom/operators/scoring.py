@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.functions import measures
+from themeloom.operators.ranking import spread_row_number
 from themeloom.runtime import stage
 from themeloom.schema import NOISE
 
@@ -261,6 +262,8 @@ def with_priority(scored: DataFrame, settings: ScoreSettings = ScoreSettings())
 
 
 def rank_themes(insights: DataFrame) -> DataFrame:
-    """Ranks from 1 by priority, over one narrow row for each scored cluster."""
-    order = Window.orderBy(F.desc("priority_score"), "cluster_id")
-    return insights.withColumn("rank", F.row_number().over(order))
+    """Ranks from 1 by priority, over two narrow columns in slices; ``insights`` is a
+    written table, for it is read twice."""
+    narrow = insights.select("cluster_id", "priority_score")
+    ranked = spread_row_number(narrow, [], [F.desc("priority_score"), F.asc("cluster_id")], "rank")
+    return insights.join(ranked.select("cluster_id", "rank"), "cluster_id").select(*insights.columns, "rank")

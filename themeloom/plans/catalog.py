@@ -662,7 +662,7 @@ def top_clusters_cut(spark, sf):
 
 @query
 def rank_themes(spark, sf):
-    ranked = scoring.rank_themes(_scored(spark, sf))
+    ranked = scoring.rank_themes(stage(_scored(spark, sf), "scored"))
     return ranked.select(F.col("rank").cast("bigint").alias("rank"), "cluster_id", r4("priority_score"), "n_items")
 
 

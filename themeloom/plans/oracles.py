@@ -624,3 +624,47 @@ ORACLES["cluster_eval"] = f"""
     UNION ALL SELECT 'silhouette', (SELECT silhouette FROM ({ORACLES['silhouette']}))
     UNION ALL SELECT 'davies_bouldin', (SELECT davies_bouldin FROM ({ORACLES['davies_bouldin']}))
     UNION ALL SELECT 'noise_share', (SELECT avg(CASE WHEN label = -1 THEN 1.0 ELSE 0.0 END) FROM embeddings)"""
+
+
+#: Squarings of the covariance matrix: a power of 2^14 leaves its first eigenvector alone.
+SQUARINGS = 14
+
+
+def _axis(matrix: str, name: str) -> list[str]:
+    """CTEs that end in ``name`` (i, v): the first eigenvector of a matrix (i, j, v), its
+    largest entry positive, and ``name``_value, its eigenvalue."""
+    out, last = [], matrix
+    for step in range(SQUARINGS):
+        made = f"{name}_{step}"
+        out.append(f"""{made} AS MATERIALIZED (SELECT i, j, v / sqrt(sum(v * v) OVER ()) AS v FROM (
+            SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {last} a JOIN {last} b ON a.j = b.i GROUP BY a.i, b.j))""")
+        last = made
+    out.append(f"""{name} AS MATERIALIZED (SELECT i, v / sqrt(sum(v * v) OVER ()) * sign(arg_max(v, abs(v)) OVER ()) AS v
+        FROM {last} WHERE j = (SELECT arg_max(j, v) FROM {last} WHERE i = j))""")
+    out.append(f"""{name}_value AS (SELECT sum(a.v * m.v * b.v) AS v FROM {matrix} m JOIN {name} a ON a.i = m.i JOIN {name} b ON b.i = m.j)""")
+    return out
+
+
+def _plane(rows: str) -> str:
+    """CTEs that end in ``plane`` (seq, pca_x, pca_y) for rows (seq, embedding)."""
+    parts = [
+        f"""centred AS MATERIALIZED (SELECT seq, d, v - avg(v) OVER (PARTITION BY d) AS v FROM (
+            SELECT seq, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS d FROM {rows} WHERE embedding IS NOT NULL))""",
+        "cov AS MATERIALIZED (SELECT a.d AS i, b.d AS j, sum(a.v * b.v) AS v FROM centred a JOIN centred b USING (seq) GROUP BY a.d, b.d)",
+        *_axis("cov", "first"),
+        """rest AS MATERIALIZED (SELECT c.i, c.j, c.v - (SELECT v FROM first_value) * a.v * b.v AS v
+            FROM cov c JOIN first a ON a.i = c.i JOIN first b ON b.i = c.j)""",
+        *_axis("rest", "second"),
+        """plane AS (SELECT seq, sum(c.v * a.v) AS pca_x, sum(c.v * b.v) AS pca_y
+            FROM centred c JOIN first a ON a.i = c.d JOIN second b ON b.i = c.d GROUP BY seq)""",
+    ]
+    return ",\n".join(parts)
+
+
+ORACLES["pca_coords"] = "WITH " + _plane("(SELECT vec_id AS seq, embedding FROM embeddings)") + """
+    SELECT seq, round(pca_x, 4) AS pca_x, round(pca_y, 4) AS pca_y FROM plane"""
+ORACLES["map_points"] = _q(INSIGHT + ["themed"], ", " + _plane("themed") + """
+    SELECT t.id, round(p.pca_x, 4) AS pca_x, round(p.pca_y, 4) AS pca_y, t.source, substr(t.text, 1, 110) AS short_text,
+           CASE WHEN theme = 'Unclustered' OR theme IN (SELECT theme FROM themed WHERE theme <> 'Unclustered'
+                GROUP BY theme ORDER BY count(*) DESC, theme LIMIT 12) THEN theme ELSE 'Other themes' END AS theme_view
+    FROM themed t JOIN plane p ON p.seq = t.seq""")
