@@ -162,6 +162,27 @@ def blobs():
     return np.concatenate(parts + [rng.uniform(-6, 12, (10, 2))])
 
 
+def test_dense_pairs_are_pruned_and_none_is_lost(spark, tiny):
+    table = spark.read.parquet(f"{tiny}/embeddings.parquet").selectExpr("vec_id AS seq", "embedding")
+    rows = sorted(table.collect(), key=lambda r: r.seq)
+    x = np.array([r.embedding for r in rows], dtype=np.float64)
+    want = [bool((x[:i] @ x[i] > 0.4).any()) for i in range(len(x))]
+    counts = neardup.PairCounts.start(spark)
+    got = neardup.flag_dense(table, 0.4, counts=counts).orderBy("seq").collect()
+    assert [r.is_near_dup for r in got] == want and any(want)
+    assert 0 < counts.full.value < 0.1 * counts.seen.value
+    # Vectors with few heavy axes: hardly any pair gets past the first of them.
+    rng = np.random.default_rng(2)
+    y = rng.normal(size=(400, 32)) * 0.7 ** np.arange(32)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    y[350:] = y[:50]
+    counts = neardup.PairCounts.start(spark)
+    y32 = y.astype(np.float32).astype(np.float64)
+    got = neardup.flag_dense(vectors(spark, y), 0.95, counts=counts).orderBy("seq").collect()
+    assert [r.is_near_dup for r in got] == [bool((y32[:i] @ y32[i] > 0.95).any()) for i in range(400)]
+    assert counts.full.value < 0.1 * max(counts.seen.value, 1) + 400
+
+
 def points(spark, x, ms=1):
     rows = [(0, i, [float(a) for a in v], 1, ms) for i, v in enumerate(x)]
     return spark.createDataFrame(rows, "run int, pid long, vec array<double>, w long, ms int")
