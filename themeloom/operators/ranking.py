@@ -33,3 +33,24 @@ def spread_row_number(df: DataFrame, groups: list[str], order: list[Column], nam
         .withColumn(name, (F.col("_r") + F.col("_ahead")).cast(kind))
         .drop("_r", "_ahead", "_slice")
     )
+
+
+def spread_max_before(df: DataFrame, groups: list[str], order: str, value: str, name: str) -> DataFrame:
+    """Largest ``value`` of the rows of a group that come strictly before by ``order``, a
+    whole number, without putting a whole group into one task.
+
+    Rows of equal order fall into one slice of a range partitioning; each slice looks
+    back inside itself and takes over the largest value of the slices before it.
+    """
+    sliced = stage(
+        df.repartitionByRange(*[F.col(g) for g in groups], F.col(order)).withColumn("_slice", F.spark_partition_id()), "slices"
+    )
+    ahead = Window.partitionBy(*groups).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = stage(
+        sliced.groupBy(*groups, "_slice").agg(F.max(value).alias("_peak"))
+        .select(*groups, "_slice", F.max("_peak").over(ahead).alias("_carried")),
+        "slice-peaks",
+    )
+    inside = Window.partitionBy(*groups, "_slice").orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
+    found = F.greatest(F.max(value).over(inside), F.col("_carried"))
+    return sliced.join(carried, [*groups, "_slice"]).withColumn(name, found).drop("_slice", "_carried")
