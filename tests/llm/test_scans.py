@@ -108,6 +108,84 @@ def test_nested_branches(spark):
     assert [r.turn for r in got] == [0, 2, 4, 6, 8, 10, 1, 3, 5, 7, 9, 11]
 
 
+def answers(spark, rows):
+    messages = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, h int")
+    return sorted(quoting.replies(messages).collect(), key=lambda r: (r.conv_id, r.turn, r.own_text))
+
+
+def test_quotes_of_some_lines_and_of_other_conversations(spark):
+    got = {(r.conv_id, r.turn): r for r in answers(spark, [
+        (3, 0, "u", "one\ntwo\nthree"), (3, 1, "u", "x"), (3, 2, "u", "On Monday Ann wrote:\n> two\n>  THREE\nyes:\nno"),
+        (3, 3, "u", "> unheard\n> x\nz"), (3, 4, "u", "> one two three\nwrapped"),
+        # Said later in its own conversation, so it is from the other one.
+        (5, 0, "u", "> late line\nz"), (5, 1, "u", "late line"), (6, 0, "u", "late line"), (7, 0, "u", "late line"),
+    ])}
+    assert (got[3, 2].reply_turn, got[3, 2].n_quotes, got[3, 2].n_linked, got[3, 2].own_text) == (0, 1, 1, "yes:\nno")
+    assert got[3, 3].reply_turn == 1 and got[3, 4].reply_turn == 0
+    assert (got[5, 0].reply_conv, got[5, 0].reply_turn) == (6, 0) and got[5, 1].reply_turn == 0
+
+
+def test_rows_that_repeat_a_turn(spark):
+    rows = [(3, 0, "u", "a"), (3, 1, "u", "b"), (3, 2, "u", "plain"), (3, 2, "u", "> a\nquoting"), (3, 2, "u", "> a\nquoting")]
+    got = answers(spark, rows)
+    assert len(got) == 5 and [(r.n_quotes, r.n_linked) for r in got if r.own_text == "plain"] == [(0, 0)]
+    again = [r for r in got if r.own_text == "quoting"]
+    assert {(r.n_quotes, r.n_linked, r.reply_turn) for r in again} == {(1, 1, 0)} and len(again) == 2
+
+
+def test_long_messages_and_long_conversations(spark):
+    said = "\n".join(f"line {i}" for i in range(500))
+    quoted = "\n".join((">> " if i % 2 else "> ") + f"line {i % 500}" for i in range(20_000))
+    rows = [(1, 0, "u", said), (1, 1, "u", quoted)] + [(2, t, "u", "same" if t % 2 else "> same\nsame") for t in range(400)]
+    got = {(r.conv_id, r.turn): r for r in answers(spark, rows)}
+    assert (got[1, 1].n_quotes, got[1, 1].n_linked, got[1, 1].reply_turn) == (20_000, 20_000, 0)
+    assert all(got[2, t].reply_turn == t - 1 for t in range(1, 400)) and got[2, 0].reply_turn is None
+    assert sorted(r.position for r in got.values() if r.conv_id == 2) == list(range(1, 401))
+
+
+def plain_links(rows):
+    """(conv, turn) -> reply of each message with one passage, by looking everywhere."""
+    def lines(text, level):
+        found = [(len(x) - len(x.lstrip(">")), x.lstrip(">").strip()) for x in text.split("\n")]
+        return [said for own, said in found if own == level and said]
+
+    out = {}
+    for conv, turn, text in rows:
+        asked, votes = lines(text, 1), {}
+        for hashed, n in [*[((x,), 1) for x in dict.fromkeys(asked)], (tuple(asked), len(asked))]:
+            if n == 1 and len(asked) > 1 and hashed == tuple(asked):
+                continue
+            says = [(c, t) for c, t, other in rows if any(" ".join(hashed) == w for w in [*lines(other, 0), " ".join(lines(other, 0))])]
+            near = [t for c, t in says if c == conv and t < turn]
+            far = sorted(x for x in says if x[0] != conv)
+            for place in ([(0, -max(near), conv, max(near))] if near else []) + ([(1, far[0][0], *far[0])] if far else []):
+                votes[place] = votes.get(place, 0) + (n if len(asked) > 1 or n == 1 else 0)
+            if len(asked) == 1:
+                break
+        best = min(votes, key=lambda p: (-votes[p], p)) if asked and votes else None
+        out[conv, turn] = best and best[2:]
+    return out
+
+
+def test_links_equal_a_plain_search(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = []
+    for conv in range(12):
+        for turn in range(6):
+            own = [rng.choice("abcdefghijkl") * 3 for _ in range(rng.randrange(1, 4))]
+            quote = [rng.choice("abcdefghijkl") * 3 for _ in range(rng.randrange(3))]
+            rows.append((conv, turn, "\n".join([*[f"> {q}" for q in quote], *own])))
+    messages = spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    want = plain_links(rows)
+    for r in quoting.replies(messages).collect():
+        if want[r.conv_id, r.turn] is None:
+            assert r.n_linked == 0 and r.reply_turn == (r.turn - 1 if r.turn else None)
+        else:
+            assert r.n_linked == 1 and (r.reply_conv, r.reply_turn) == want[r.conv_id, r.turn], (r, want[r.conv_id, r.turn])
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
 <nav><ul><li><a href="/x">Menu</a></li></ul></nav><div class="cookie-notice">We use the cookies of this site and you can
 accept them all or not as you like it in the settings of it.</div><!-- x --><div class="ad">Buy the thing</div>{0}
