@@ -50,3 +50,14 @@ def test_emoji_are_spelled_out(spark):
     rows = {r.id: r.text for r in sentiment.name_emoji(df, emoji).collect()}
     assert rows[1].split() == ["so", "grinning", "face", "!"] and rows[2] == "no emoji" and rows[3] is None
     assert rows[4].startswith(" red heart ")
+
+
+def test_words_are_not_shuffled_to_a_small_lexicon(spark):
+    df = spark.createDataFrame([("1", "a kiss of death"), ("1", "bad ass"), (None, "a kiss")], "id string, text_clean string")
+    lexicon = spark.createDataFrame([("kiss", 2.0), ("death", -2.9)], "word string, valence double")
+    phrases = spark.createDataFrame([("bad ass", 1.5)], "phrase string, valence double")
+    scored = sentiment.score_tokens(df, lexicon, phrases=phrases)
+    plan = scored._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    # The join of a text with its spans may move texts; words and word n-grams stay where they are.
+    assert plan.count("BroadcastHashJoin") >= 2 and plan.count("SortMergeJoin") <= 1
+    assert {r.id for r in scored.collect()} == {"1", None}
