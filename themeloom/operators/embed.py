@@ -40,15 +40,15 @@ def tfidf(df: DataFrame, text_col: str = "text_clean", n_features: int = 1024) -
 def term_weights(df: DataFrame, text_col: str = "text_clean") -> DataFrame:
     """(seq, term, weight): unit TF-IDF weights of real words, without hashing.
 
-    Counts are combined per (row, word) and per word before each shuffle. A word that
-    is in every row has weight 0; rows made of such words only have no direction and
+    Texts are dealt by row, so words are counted where they are taken. The rarities are
+    written, so that Spark knows whether they are small enough to broadcast. A word that is in every row has weight 0; rows made of such words only have no direction and
     keep zero weights.
     """
     words = F.filter(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    counts = df.select("seq", F.explode(words).alias("term")).groupBy("seq", "term").agg(F.count("*").alias("n"))
+    counts = df.select("seq", text_col).repartition("seq").select("seq", F.explode(words).alias("term")).groupBy("seq", "term").agg(F.count("*").alias("n"))
     counts = stage(counts, "term-counts")
     n_rows = df.agg(F.count("*").alias("n")).scalar()
-    rarity = counts.groupBy("term").agg(F.log((n_rows + 1.0) / (F.count("*") + 1.0)).alias("idf"))
+    rarity = stage(counts.groupBy("term").agg(F.log((n_rows + 1.0) / (F.count("*") + 1.0)).alias("idf")), "rarity")
     weighed = counts.join(rarity, "term").select("seq", "term", (F.col("n") * F.col("idf")).alias("x"))
     length = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("seq")))
     return weighed.select("seq", "term", F.coalesce(F.col("x") / F.nullif(length, F.lit(0.0)), F.lit(0.0)).alias("weight"))

@@ -21,7 +21,9 @@ from itertools import product
 from re import _constants as kinds
 from re import _parser as parser
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from themeloom.operators.ranking import spread_row_number
@@ -137,6 +139,17 @@ def required(pattern: str) -> Need | None:
     return need if all(need) else None
 
 
+def _block_of(starts: list[int]):
+    """The block of a key, by the first keys of the blocks; rows without one are in the first."""
+    bounds = np.array(starts, dtype=np.int64)
+
+    @F.pandas_udf("long")
+    def run(keys: pd.Series) -> pd.Series:
+        return pd.Series(np.maximum(np.searchsorted(bounds, keys.to_numpy(np.int64), "right") - 1, 0))
+
+    return lambda key: run(F.coalesce(key.cast("long"), F.lit(-(1 << 63))))
+
+
 @dataclass(frozen=True)
 class TextIndex:
     """Folders of the rows by block, of the postings by trigram and of their counts."""
@@ -150,10 +163,14 @@ class TextIndex:
         """Writes the index of ``df`` (``seq`` unique, ``text``) below ``path``."""
         index = cls(f"{path}/rows", f"{path}/postings", f"{path}/counts")
         spark = df.sparkSession
-        numbered = spread_row_number(df, [], [F.asc("seq")], "_no", "long")
+        # Only the keys are numbered; the rows move once, each to its block.
+        numbered = spread_row_number(df.select("seq"), [], [F.asc("seq")], "_no", "long")
         span = max(1, min(block_rows, -(-df.count() // LEAST_BLOCKS)))
-        place = [F.floor((F.col("_no") - 1) / span).alias("_block"), ((F.col("_no") - 1) % span).cast("int").alias("_row")]
-        numbered.select(*df.columns, *place).write.partitionBy("_block").parquet(index.rows)
+        heads = numbered.filter((F.col("_no") - 1) % span == 0).select("seq").collect()  # one a block
+        starts = sorted({r.seq for r in heads if r.seq is not None})
+        placed = df.withColumn("_block", _block_of(starts)(F.col("seq"))).repartition("_block")
+        row = F.row_number().over(Window.partitionBy("_block").orderBy("seq")) - 1
+        placed.withColumn("_row", row).select(*df.columns, "_block", "_row").write.option("compression", "zstd").partitionBy("_block").parquet(index.rows)
         rows = spark.read.parquet(index.rows).select("_block", "_row", "text")
         grams = F.array_distinct(F.regexp_extract_all(fold(F.col("text")), F.lit("(?s)(?=(.{3}))"), 1))
         lists = rows.select(F.col("_block").cast("long").alias("block"), "_row", F.explode(grams).alias("gram")).groupBy("gram", "block").agg(
