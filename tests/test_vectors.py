@@ -183,6 +183,26 @@ def test_dense_pairs_are_pruned_and_none_is_lost(spark, tiny):
     assert counts.full.value < 0.1 * max(counts.seen.value, 1) + 400
 
 
+def test_vectors_without_structure_go_to_a_grid(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "TILE_ROWS", 16)
+    rng = np.random.default_rng(12)
+    v = unit(rng.normal(size=(300, 40))).astype(np.float32)
+    v[200:240] = v[3]
+    v[290:] = unit(v[100:110] + rng.normal(scale=0.02, size=(10, 40)))
+    x = v.astype(float)
+    want = (np.tril(x @ x.T, -1) > 0.4).any(axis=1).tolist()
+    sides = []
+    grid = neardup._flag_grid
+    monkeypatch.setattr(neardup, "_flag_grid", lambda homes, side, *rest: sides.append(side) or grid(homes, side, *rest))
+    df = vectors(spark, v).unionByName(vectors(spark, v[:5]).withColumn("seq", F.lit(None).cast("long")))
+    got = neardup.flag_dense(df, 0.4, cell_rows=5)
+    assert flags(got.filter("seq IS NOT NULL")) == want and sides == [neardup._grid_side(spark, 305)]
+    assert got.filter("seq IS NULL AND NOT is_near_dup").count() == 5
+    # Rows that repeat a number are judged as one.
+    twice = neardup.flag_dense(df.union(df), 0.4, cell_rows=5)
+    assert twice.count() == 610 and flags(twice.filter("seq IS NOT NULL").distinct()) == want
+
+
 def points(spark, x, ms=1):
     rows = [(0, i, [float(a) for a in v], 1, ms) for i, v in enumerate(x)]
     return spark.createDataFrame(rows, "run int, pid long, vec array<double>, w long, ms int")
