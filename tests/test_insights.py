@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.ml.feature import HashingTF, NGram
 from pyspark.sql import functions as F
 
 from themeloom.operators import annotate, language, quotes, report, sentiment
@@ -180,3 +181,28 @@ def stats_copies(docs, stats):
 
     kept = cleaning.keep_clean(cleaning.tag_drops(cleaning.add_clean_text(docs)))
     return cleaning.exact_copy_count(kept).head().n_copies
+
+
+def test_hashed_trigrams_equal_those_of_spark(spark, monkeypatch):
+    words = ["the cat", "Über-Maß 12", "x", "", "a￿b", "\U00010330\U00010331 gothic", "naïve ǅ İstanbul", "日本語 テキスト"]
+    many = ["".join(chr(0x4E00 + 7 * i + j) for j in range(200)) for i in range(3)]
+    texts = words + many + ["abc " * 50] * 3 + [None]
+    df = spark.createDataFrame(list(enumerate(texts)), "seq int, text string").coalesce(1)
+    plain = F.regexp_replace(F.lower("text"), r"[^\p{L}]+", "_")
+    chars = df.filter("text IS NOT NULL").withColumn("_chars", F.split(F.concat(F.lit("_"), plain, F.lit("_")), ""))
+    grams = NGram(n=3, inputCol="_chars", outputCol="_grams").transform(chars)
+    for n_features in (1 << 14, 1000):
+        want = HashingTF(inputCol="_grams", outputCol="_tf", numFeatures=n_features).transform(grams)
+        want = {r.seq: r._tf for r in want.collect()} | {len(texts) - 1: None}
+        for chars_at_once in (1 << 20, 3):
+            monkeypatch.setattr(language, "CHARS", chars_at_once)
+            got = {r.seq: r._tf for r in language._with_features(df, "text", n_features).collect()}
+            assert got == want
+
+
+def test_trigram_features_are_not_made_as_strings(spark):
+    df = spark.createDataFrame([("the cat", "en"), ("die Katze", "de")], "text string, lang string")
+    found = language.add_language(df, language.train(df), "text")
+    assert sorted(r.lang for r in found.collect()) == ["de", "en"]
+    plan = found.filter("lang = 'en'")._jdf.queryExecution().executedPlan().toString()
+    assert "split(" not in plan and plan.count("ArrowEvalPython") == 1
