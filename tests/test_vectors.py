@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from themeloom.operators import centroids, density, embed, evaluate, neardup, projection, spanning
+from themeloom.operators import centroids, density, embed, evaluate, kmeans, neardup, projection, spanning
 from themeloom.operators.ranking import spread_row_number
 
 
@@ -351,3 +351,23 @@ def test_silhouettes_of_many_labelings(spark):
         assert r.silhouette == pytest.approx(np.mean(each), abs=1e-9) and r.n_members == 70
         single = df.withColumn("cluster_id", df.labels[r.labeling])
         assert evaluate.silhouette(single, block_rows=20).head().silhouette == pytest.approx(np.mean(each), abs=1e-9)
+
+
+def test_sums_of_centres_add_rows_as_they_come(monkeypatch):
+    rng = np.random.default_rng(14)
+    x, own = rng.normal(size=(500, 15)), rng.integers(0, 7, 500)
+    want = np.zeros((9, 15))
+    np.add.at(want, own, x)
+    assert (kmeans._sums_of_own(x, own, 9) == want).all()
+    c = rng.normal(size=(9, 15))
+    plain = np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1)[None] - 2 * (x @ c.T), 0.0)
+    assert (kmeans._squares(x, c) == plain).all() and (kmeans._squares(x, c, (x * x).sum(1)) == plain).all()
+
+
+def test_passes_of_kmeans_add_no_rows_one_by_one(spark, monkeypatch):
+    added = []
+    df = vectors(spark, np.concatenate([np.zeros((6, 2)), np.ones((6, 2))])).selectExpr("seq", "cast(embedding as array<double>) vec")
+    monkeypatch.setattr(kmeans, "_sums_of_own", lambda x, own, k: np.full((k, x.shape[1]), 7.0))
+    found = kmeans._pass(df.coalesce(1), {0: np.array([[0.0, 0.0], [1.0, 1.0]])})
+    added += [list(t) for t in found.total]
+    assert added == [[7.0, 7.0]] * 2
