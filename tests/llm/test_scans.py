@@ -1,8 +1,10 @@
 """Secret scans, licences, quotations and page texts."""
 
 import hashlib
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import brute
 from themeloom.llm import guesses, licences, pages, quoting, secret_scan
@@ -240,3 +242,14 @@ def test_pages(spark, tiny):
         assert len(text) == got[r.page_id, r.url].n_chars
         assert brute.words(text) == brute.words(__import__("html").unescape(__import__("re").sub(r"<[^>]*>", " ", article)))
     assert pages.extract(source.limit(0)).count() == 0
+
+
+def test_gate_of_licences_tries_common_beginnings_once(spark):
+    assert licences._either([["a", "b", "c"], ["a", "b", "d"], ["e"], ["e", "f"]]) == "(?:ab(?:c|d)|e)"
+    texts = ["wall  rights kept", "all, rights", "allrights", "version 22.0 x", "version 2", "creative\ncommons", "creativ commons", "0 1", ""]
+    words = [re.findall("[a-z0]+", re.sub("[0-9]+", "0", t.lower())) for kind in licences.TEMPLATES.values() for t in kind]
+    pairs = sorted({pair for w in words for pair in zip(w, w[1:])})
+    texts += [f"x{a}{gap}{b}" for a, b in pairs for gap in (" ", "--", "", "é ", " 7 ")]
+    plain = "|".join(r"[^\p{L}0-9]+".join(w.replace("0", "[0-9]+") for w in pair) for pair in pairs)
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(F.col("t").rlike(licences._gate()).alias("got"), F.col("t").rlike(plain).alias("want"))
+    assert rows.filter("got <> want").count() == 0 and 0 < rows.filter("want").count() < len(texts)
