@@ -164,3 +164,24 @@ def test_empty_tables(spark):
     assert substrings.strip_passages(none).count() == 0
     assert exact.copies(none).count() == 0 and exact.drop_copies(none).count() == 0
     assert jaccard.similar(none).count() == 0 and jaccard.keep_one(none).count() == 0
+
+
+def test_links_of_a_cluster_are_counted_without_its_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    base, other = ([rng.choice(words) for _ in range(300)] for _ in range(2))
+    far = list(base)
+    for i in range(0, 40, 4):
+        far[i] = "far"
+    rows = [(i, " ".join([*base[: 5 * i], f"new{i}", *base[5 * i + 1 :]])) for i in range(1, 50)]
+    rows += [(i + 100, t) for i, t in rows[:9]] + [(201, " ".join(far)), (202, " ".join(other)), (203, " ".join(base))]
+    made = []
+    every_pair = jaccard.every_pair
+    monkeypatch.setattr(jaccard, "every_pair", lambda *a: made.append(every_pair(*a)) or made[-1])
+    got = jaccard.counted(frame(spark, rows)).collect()
+    words_of = {i: t.split() for i, t in rows}
+    sets = {i: {tuple(w[k : k + 4]) for k in range(len(w) - 3)} for i, w in words_of.items()}
+    linked = lambda a, b: 100 * len(a & b) >= 85 * len(a | b)
+    want = {i: sum(linked(s, t) for j, t in sets.items() if j != i) for i, s in sets.items()}
+    assert {r.doc_id: r.n_links for r in got} == want
+    assert made[0].count() < 200  # pairs of the 50 near copies: 1,225

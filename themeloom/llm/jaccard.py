@@ -10,8 +10,9 @@ prefixes. Two relations between sets save most of the work:
   that differs between two signatures takes at least one token that differs). Lists are
   first read against a few leaders of each size class. Where only components are asked
   for, lists whose sets already belong to one component are skipped as a whole
-  afterwards; where the links of each row are counted, lists are read against
-  themselves, by blocks of bounded size.
+  afterwards; where the links of each row are counted, sets near the same leader form a
+  cluster whose sets are all linked and are counted by its size, and lists are read
+  against themselves, by blocks of bounded size, for pairs of different clusters.
 * Answers of a set follow from those of a highly similar leader: with the known
   differences x-leader and leader-y, the triangle inequality links or drops (x, y)
   without reading either set. Only pairs that it leaves open are compared.
@@ -226,19 +227,41 @@ def other_pairs(lists: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     return _candidates(small.join(large, on).select(*_pair()), percent)
 
 
-def every_pair(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets from all lists, inside components too. A list is cut by size class
-    and into blocks; a set meets the blocks of its own class and of the next larger one,
-    as no others have sizes that let it link."""
+def clusters(known: DataFrame, percent: int) -> DataFrame:
+    """sid, cluster: sets whose gap to their leader is at most what links them if half of it
+    is theirs. By the triangle inequality any two sets of a cluster are linked. Of several
+    leaders that one counts which could have the most sets. ``known`` is that of ``derive``."""
+    either = known.select(F.col("x").alias("cluster"), F.col("y").alias("sid"), F.col("ny").alias("n"), "gap").union(
+        known.select("y", "x", "nx", "gap")
+    )
+    near = either.filter((100 + percent) * F.col("gap") <= (100 - percent) * F.col("n")).select("cluster", "sid")
+    sizes = stage(near.groupBy("cluster").agg(F.count("*").alias("could")), "cluster-sizes")
+    own = sizes.select("cluster", F.col("cluster").alias("sid"), "could")
+    every = near.join(sizes, "cluster").select("cluster", "sid", "could").union(own)
+    best = F.max(F.struct("could", (-F.col("cluster")).alias("place")))
+    return every.groupBy("sid").agg(best.alias("b")).select("sid", (-F.col("b.place")).alias("cluster"))
+
+
+def every_pair(lists: DataFrame, grouped: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets of different clusters from all lists, inside components too. A list
+    whose sets are of one cluster is skipped. The others are cut by size class and into
+    blocks; a set meets the blocks of its own class and of the next larger one, as no others
+    have sizes that let it link."""
     # shrunk a little: sizes at just the limit stay in neighbouring classes
     band = F.floor(F.log(F.col("n").cast("double")) / -F.log(F.lit(percent / 100)) * (1 - 1e-9)).cast("int")
-    banded = lists.withColumn("band", band)
-    blocks = banded.groupBy("token", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    banded = lists.join(grouped, "sid", "left").withColumn("cluster", F.coalesce("cluster", "sid")).withColumn("band", band)
+    sizes = stage(
+        banded.groupBy("token", "band").agg(F.count("*").alias("size"), F.min("cluster").alias("lo"), F.max("cluster").alias("hi")),
+        "list-sizes",
+    )
+    mixed = sizes.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("token")
+    blocks = sizes.join(mixed, "token").select("token", "band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     large = banded.join(blocks, ["token", "band"]).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     asking = banded.filter("indexed").withColumn("up", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", F.col("band") + F.col("up"))
     small = asking.join(blocks, ["token", "band"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     same = [F.col(f"s.{c}") == F.col(f"l.{c}") for c in ("token", "band", "block")]
-    on = same[0] & same[1] & same[2] & _smaller("s", "l") & _fits("s", "l", percent)
+    apart = F.col("s.cluster") != F.col("l.cluster")
+    on = same[0] & same[1] & same[2] & apart & _smaller("s", "l") & _fits("s", "l", percent)
     return _candidates(small.alias("s").join(large.alias("l"), on).select(*_pair()), percent)
 
 
@@ -306,25 +329,46 @@ def compare(pairs: DataFrame, docs: DataFrame, members: DataFrame, settings: Jac
     return found.distinct()
 
 
-def links(docs: DataFrame, members: DataFrame, settings: JaccardSettings, every: bool = False) -> DataFrame:
-    """a, b: links between representatives that connect each component of similar sets,
-    or with ``every`` all links between them, each once."""
-    percent = settings.percent
-    lists = stage(postings(members, percent), "lists")
-    close = F.col("gap") <= F.col("nx") + F.col("ny") - 2 * _least(F.col("nx"), F.col("ny"), percent)
-    first = stage(leader_pairs(lists, percent), "leader-pairs")
-    known = stage(compare(first, docs, members, settings), "leader-answers")
-    near = known.filter(close).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    if every:
-        rest = every_pair(lists, percent)
-    else:
-        roots = components(near).select(F.col("node").alias("sid"), "root")
-        rest = other_pairs(lists, stage(roots, "roots"), percent)
+def _first_answers(docs: DataFrame, members: DataFrame, settings: JaccardSettings) -> tuple[DataFrame, DataFrame]:
+    """The lists, and the compared pairs of leaders."""
+    lists = stage(postings(members, settings.percent), "lists")
+    first = stage(leader_pairs(lists, settings.percent), "leader-pairs")
+    return lists, stage(compare(first, docs, members, settings), "leader-answers")
+
+
+def _close(percent: int) -> Column:
+    return F.col("gap") <= F.col("nx") + F.col("ny") - 2 * _least(F.col("nx"), F.col("ny"), percent)
+
+
+def _rest(rest: DataFrame, known: DataFrame, docs: DataFrame, members: DataFrame, settings: JaccardSettings) -> DataFrame:
+    """a, b: linked pairs of ``rest`` that are not in ``known``."""
     rest = rest.join(known.select("x", "y"), ["x", "y"], "left_anti")
-    rest = stage(derive(stage(rest, "other-pairs"), known, percent), "derived")
+    rest = stage(derive(stage(rest, "other-pairs"), known, settings.percent), "derived")
     derived = rest.filter("link").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    found = compare(rest.filter("link IS NULL").drop("link"), docs, members, settings).filter(close)
-    return stage(near.union(derived).union(found.select(F.col("x").alias("a"), F.col("y").alias("b"))), "all-links")
+    found = compare(rest.filter("link IS NULL").drop("link"), docs, members, settings).filter(_close(settings.percent))
+    return derived.union(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
+def links(docs: DataFrame, members: DataFrame, settings: JaccardSettings) -> DataFrame:
+    """a, b: links between representatives that connect each component of similar sets."""
+    lists, known = _first_answers(docs, members, settings)
+    near = known.filter(_close(settings.percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    roots = components(near).select(F.col("node").alias("sid"), "root")
+    rest = other_pairs(lists, stage(roots, "roots"), settings.percent)
+    return stage(near.union(_rest(rest, known, docs, members, settings)), "all-links")
+
+
+def every_link(docs: DataFrame, members: DataFrame, settings: JaccardSettings) -> tuple[DataFrame, DataFrame]:
+    """All links between representatives: (a, b) of different clusters, each once, and the
+    clusters (sid, cluster), inside which all sets are linked."""
+    lists, known = _first_answers(docs, members, settings)
+    grouped = stage(clusters(known, settings.percent), "clusters")
+    near = known.filter(_close(settings.percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    of = [grouped.select(F.col("sid").alias(c), F.col("cluster").alias(f"c{c}")) for c in "ab"]
+    near = near.join(of[0], "a", "left").join(of[1], "b", "left")
+    near = near.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    rest = _rest(every_pair(lists, grouped, settings.percent), known, docs, members, settings)
+    return stage(near.union(rest), "all-links"), grouped
 
 
 def classes(docs: DataFrame, settings: JaccardSettings) -> tuple[DataFrame, DataFrame]:
@@ -368,15 +412,18 @@ def counted(docs: DataFrame, settings: JaccardSettings | None = None) -> DataFra
     """``similar`` with n_links: how many other rows have an equal or a similar set."""
     settings = settings or JaccardSettings()
     rows, same = classes(docs, settings)
-    found = links(docs, _members(rows, same), settings, every=True)
+    found, grouped = every_link(docs, _members(rows, same), settings)
     sizes = rows.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.count("*").alias("size"))
     sized = stage(same.select("set_key", "sid").join(sizes, "set_key"), "class-sizes")
     either = found.union(found.select("b", "a"))
     far = either.join(sized.select(F.col("sid").alias("b"), "size"), "b").groupBy("a").agg(F.sum("size").alias("far"))
-    totals = sized.join(far.withColumnRenamed("a", "sid"), "sid", "left").select(
-        "set_key", (F.col("size") - 1 + F.coalesce("far", F.lit(0).cast("long"))).alias("n_links")
+    whole = grouped.join(sized, "sid").groupBy("cluster").agg(F.sum("size").alias("near"))
+    near = grouped.join(whole, "cluster").select("sid", "near")
+    totals = sized.join(far.withColumnRenamed("a", "sid"), "sid", "left").join(near, "sid", "left").select(
+        "set_key", (F.coalesce("near", "size") - 1 + F.coalesce("far", F.lit(0).cast("long"))).alias("n_links")
     )
-    return _labelled(rows, same, found).join(totals, "set_key", "left").select(
+    joined = found.union(grouped.filter("sid <> cluster").select("sid", "cluster"))
+    return _labelled(rows, same, joined).join(totals, "set_key", "left").select(
         "doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
     )
 
