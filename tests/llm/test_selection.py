@@ -61,6 +61,24 @@ def test_scores_leave_the_own_text_out(spark):
         assert row.score == pytest.approx(want / max(row.n_grams, 1), abs=1e-8)
 
 
+def test_scores_do_not_depend_on_bundles_and_slices(spark, monkeypatch):
+    """Many bundles and slices give the scores of one, and no row for each text and slice."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices("abcdefghij\u00e4\u4e2d", k=rng.randint(0, 90))) for _ in range(120)]
+    rows = [(i, t) for i, t in enumerate(texts + texts[:40])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 160, 3)], "doc_id long, quality int, toxic int")
+    want = {r.doc_id: r for r in quality.verdicts(docs, labels).collect()}
+    monkeypatch.setattr(quality, "SLICE", 200)
+    got = {r.doc_id: r for r in quality.verdicts(docs, labels).collect()}
+    assert got.keys() == want.keys() and len({r.score for r in want.values()}) > 60
+    assert all(got[i].score == pytest.approx(want[i].score, abs=2e-9) and got[i].kept == want[i].kept for i in want)
+    same = quality.text_classes(quality.surface(docs, quality.QualitySettings()), quality.trusted_ids(labels))
+    for parts in (2, 8):
+        held = quality.bundles_of(docs, same, 4)
+        assert quality.questions(held, parts).count() <= 4 * parts
+
+
 def test_quality_without_rows_or_labels(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, raw string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
