@@ -1,3 +1,5 @@
+import os
+
 from pyspark.sql import functions as F
 
 from themeloom.operators import centroids
@@ -45,3 +47,42 @@ def test_assignment(spark, tmp_path):
 def test_mentions_filter(spark, tmp_path):
     stream = source(spark, tmp_path).withColumn("inbound", F.lit("True"))
     assert len(drain(spark, feeds.mentions(stream, "AGAIN"), tmp_path, "mentions")) == 2
+
+
+def arrived(spark, tmp_path, files, name, buckets):
+    """Rows that ``earliest_copies`` sends when each of ``files`` is a micro-batch, and the
+    groups in its state at the end."""
+    schema = "text_clean string, timestamp timestamp, seq long"
+    path = str(tmp_path / f"in-{name}")
+    for k, rows in enumerate(files):
+        frame = spark.createDataFrame(rows, "text_clean string, day double, seq long")
+        frame = frame.selectExpr("text_clean", "timestamp_seconds(day * 86400) AS timestamp", "seq")
+        frame.coalesce(1).write.mode("append").parquet(path)
+        for file in (tmp_path / f"in-{name}").glob("*.parquet"):
+            if f"at{k}" not in file.name and not file.name.startswith("at"):
+                file.rename(file.with_name(f"at{k}-{file.name}"))
+                os.utime(file.with_name(f"at{k}-{file.name}"), (1e9 + k, 1e9 + k))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = str(tmp_path / f"out-{name}")
+    writer = feeds.write_batches(feeds.earliest_copies(stream, 7, buckets), out, str(tmp_path / f"cp-{name}"))
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    sent = spark.read.option("basePath", out).parquet(out).orderBy("batch", "seq").collect()
+    days = [(r.batch, None if r.micros == feeds.NO_TIME else r.micros / 86400e6, r.seq) for r in sent]
+    return days, query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+
+def test_texts_share_groups(spark, tmp_path):
+    first = [(f"text {i}", 3.0, i) for i in range(40)] + [(f"TEXT {i}", 2.0, 100 + i) for i in range(5)]
+    second = [(f"text {i}", 1.0 if i < 9 else 4.0, 200 + i) for i in range(20)] + [("new", None, 300), ("new", None, None)]
+    sent, groups = arrived(spark, tmp_path, [first, second], "share", 4)
+    want = [(0, 3.0, i) for i in range(5, 40)] + [(0, 2.0, 100 + i) for i in range(5)]
+    want += [(1, 1.0, 200 + i) for i in range(9)] + [(1, None, 300)]
+    assert sent == want and groups <= 4
+
+
+def test_texts_leave_the_state_after_the_horizon(spark, tmp_path):
+    files = [[("a", 1.0, 1), ("b", 99.0, 2)], [("b", 98.0, 3)], [("a", 100.0, 4), ("a", 0.5, 5), ("b", 101.0, 6)]]
+    for buckets in (1, 64):
+        sent, _ = arrived(spark, tmp_path, files, f"leave{buckets}", buckets)
+        assert sent == [(0, 1.0, 1), (0, 99.0, 2), (1, 98.0, 3), (2, 100.0, 4)]

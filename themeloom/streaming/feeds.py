@@ -34,41 +34,64 @@ def first_copies(stream: DataFrame, horizon: str = "7 days") -> DataFrame:
     return keyed.withWatermark("timestamp", horizon).dropDuplicatesWithinWatermark(["text_key"])
 
 
-#: Stands for an unknown event time, which comes after all others.
+#: Stands for an unknown event time or ``seq``, which comes after all others.
 NO_TIME = (1 << 63) - 1
 DAY_MS = 86_400_000
+#: Groups that the texts are dealt to; a call into Python costs far more than a row.
+BUCKETS = 1 << 14
+KNOWN = "text_keys array<string>, micros array<long>, seqs array<long>, ends array<long>"
 
 
-def earliest_copies(stream: DataFrame, horizon_days: int = 7) -> DataFrame:
+def earliest_copies(stream: DataFrame, horizon_days: int = 7, buckets: int = BUCKETS) -> DataFrame:
     """(text_key, micros, seq) of the earliest copy of each text by event time (then by
     ``seq``), whatever the order of arrival: a text is sent again whenever an earlier
     copy of it turns up. Rows later than the horizon are dropped, and a text leaves the
-    state when that can no longer happen to a copy of it."""
+    state when that can no longer happen to a copy of it.
+
+    Texts share a group and its state by their hash, so that calls into Python are
+    bounded by ``buckets`` a micro-batch. The state of a group is written anew when one of
+    its texts arrives: take more buckets when the state is far larger than a micro-batch.
+    """
 
     def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        known = state.get if state.exists else None
-        best = known
-        for batch in batches:
-            least = min(zip(batch["micros"].tolist(), batch["seq"].tolist()))
-            best = least if best is None else min(tuple(best), least)
         watermark = max(state.getCurrentWatermarkMs(), 0)
-        since = watermark if best[0] == NO_TIME else max(best[0] // 1000, watermark)
-        state.update(best)
-        state.setTimeoutTimestamp(since + horizon_days * DAY_MS)
-        if known is None or best < tuple(known):
-            yield pd.DataFrame([(key[0], *best)], columns=["text_key", "micros", "seq"])
+        known = {k: (m, s, end) for k, m, s, end in zip(*state.get)} if state.exists else {}
+        least: dict[str, tuple[int, int]] = {}
+        if not state.hasTimedOut:
+            for batch in batches:
+                for text, *row in zip(*(batch[c].tolist() for c in ("text_key", "micros", "seq"))):
+                    best = least.get(text)
+                    if best is None or tuple(row) < best:
+                        least[text] = tuple(row)
+        found = []
+        for text, best in least.items():
+            before = known.get(text)
+            if before is None or best < before[:2]:
+                found.append((text, *best))
+            else:
+                best = before[:2]
+            since = watermark if best[0] == NO_TIME else max(best[0] // 1000, watermark)
+            known[text] = (*best, since + horizon_days * DAY_MS)
+        known = {k: v for k, v in known.items() if k in least or v[2] >= watermark}
+        if known:
+            state.update((list(known), *map(list, zip(*known.values()))))
+            state.setTimeoutTimestamp(max(min(v[2] for v in known.values()), watermark + 1))
+        else:
+            state.remove()
+        if found:
+            yield pd.DataFrame(found, columns=["text_key", "micros", "seq"])
 
     micros = F.coalesce(F.unix_micros("timestamp"), F.lit(NO_TIME)).alias("micros")
-    keyed = stream.select(text_hash(F.col("text_clean")).alias("text_key"), "timestamp", micros, "seq")
-    return (
-        keyed.withWatermark("timestamp", f"{horizon_days} days").groupBy("text_key")
+    seq = F.coalesce(F.col("seq").cast("long"), F.lit(NO_TIME)).alias("seq")
+    keyed = stream.select(text_hash(F.col("text_clean")).alias("text_key"), "timestamp", micros, seq)
+    keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64("text_key"), F.lit(buckets)))
+    found = (
+        keyed.withWatermark("timestamp", f"{horizon_days} days").groupBy("bucket")
         .applyInPandasWithState(
-            keep, "text_key string, micros long, seq long", "micros long, seq long", "update", GroupStateTimeout.EventTimeTimeout
+            keep, "text_key string, micros long, seq long", KNOWN, "update", GroupStateTimeout.EventTimeTimeout
         )
     )
+    return found.withColumn("seq", F.nullif("seq", F.lit(NO_TIME)))
 
 
 def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> DataStreamWriter:
