@@ -82,6 +82,26 @@ def test_licences_in_words_of_ordinary_text(spark):
     assert got[5000].families == "reserved" and got[0].families == ""
 
 
+def test_unknown_licence_sentences_come_from_all_documents(spark):
+    """The model knows the words of the last of 500 documents, whose ids are the largest."""
+    last = "Permission is hereby granted to the guests of the house."
+    rows = [(i, f"The river number {i} is long.") for i in range(500)] + [(9000, last), (9001, "The sea.\nIt is large."), (9002, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    background = [r.sentence for r in licences._background(docs).collect()]
+    assert len(background) == 504 and last in background
+    model = licences.fit(docs, licences.LicenceSettings())
+    best = model.classifier.transform(licences.featured(spark.createDataFrame([(last,)], "sentence string"))).first()
+    assert best.prediction == licences.UNKNOWN
+
+
+def test_quantile_of_held_out_values(spark):
+    for values in ([], [0.25], [0.1, 0.9], [0.5] * 700 + [i / 1000 for i in range(900)]):
+        rows = spark.createDataFrame([(v,) for v in values], "v double")
+        for share in (0.0, 0.31, 0.999):
+            want = rows.agg(F.percentile("v", F.lit(share)).alias("p")).first().p
+            assert licences._quantile(rows, share) == want
+
+
 def test_quotes_are_linked_and_removed(spark):
     rows = [
         (1, 0, "u", "Hello there.\nHow are you?"), (1, 1, "a", "> hello  THERE.\nFine!"), (1, 2, "u", ">> Hello there.\n> Fine!\nGood."),
