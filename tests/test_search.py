@@ -1,5 +1,6 @@
 """The trigram index against a scan of all rows."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +58,30 @@ def test_search_equals_scan(spark, tmp_path):
     assert index.fetch(spark, "ab").count() == len(rows)
 
 
+def test_trigrams_are_listed_in_pieces(monkeypatch):
+    """Of each block, a bounded number of bytes at once; together, what ``_fold`` demands."""
+    monkeypatch.setattr(textindex, "LIST_BYTES", 200)
+    texts = [t or "" for t in TEXTS] * 3
+    blocks, rows = [i // 20 for i in range(len(texts))], [i % 20 for i in range(len(texts))]
+    batch = pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(rows, pa.int32()), pa.array(texts)], ["block", "_row", "text"])
+    found = [(x["gram"], x["block"], r) for out in textindex._lists(iter([batch, batch.slice(7, 30)])) for x in out.to_pylist() for r in x["rows"]]
+    every = list(zip(blocks, rows, texts))
+    want = [(g, b, r) for b, r, t in every + every[7:37] for g in textindex._trigrams(textindex._fold(t))]
+    assert sorted(found) == sorted(want)
+    longest = max(len(textindex._fold(t)) for t in texts)
+    assert all(len(x.column(2).flatten()) <= max(200, longest) for x in textindex._lists(iter([batch])))
+
+
+def test_postings_of_a_block_are_in_lists_of_bounded_texts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(textindex, "LIST_BYTES", 1000)  # travels to the workers by value
+    monkeypatch.setattr(textindex, "LEAST_BLOCKS", 1)
+    df = spark.createDataFrame([(i, f"common words {i}") for i in range(400)], "seq long, text string")
+    index = textindex.TextIndex.build(df, str(tmp_path / "index"), block_rows=10**6)
+    sizes = spark.read.parquet(index.postings).agg(F.max(F.size("rows")).alias("most")).first()
+    assert spark.read.parquet(index.rows).select("_block").distinct().count() == 1 and 50 < sizes.most <= 1000 // 14
+    assert index.fetch(spark, "mon wor").count() == 400 and index.fetch(spark, "words 39").count() == 11
+
+
 def test_only_blocks_with_candidates_are_read(spark, tmp_path):
     rows = [(i, "common words " + ("needle" if i in (5, 901) else "straw")) for i in range(1000)]
     index = textindex.TextIndex.build(spark.createDataFrame(rows, "seq long, text string"), str(tmp_path / "index"))

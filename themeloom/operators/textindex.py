@@ -2,8 +2,8 @@
 
 A search first derives what a text must contain to match: alternatives, each a set of
 trigrams that all have to occur. Postings say for every trigram and block of rows which
-rows of the block have it; the lists of the rarest trigrams are intersected block by
-block, and only rows that are left are fetched and matched. A pattern that demands no
+rows of the block have it, in lists of a few MB of text each; those of the rarest trigrams
+are intersected block by block, and only rows that are left are fetched and matched. A pattern that demands no
 trigram, or that this module does not understand, is matched against every row.
 
 Letters are folded so that nothing that matches in any case is missed: ASCII letters
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 import warnings
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import product
 from re import _constants as kinds
@@ -23,7 +23,8 @@ from re import _parser as parser
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from themeloom.operators.ranking import spread_row_number
@@ -33,6 +34,8 @@ BLOCK_ROWS = 65_536
 LEAST_BLOCKS = 64
 #: Strings a part of a pattern may stand for, and alternatives of a whole pattern.
 MOST_STRINGS, MOST_ALTERNATIVES = 16, 32
+#: Bytes of text whose trigrams are listed at once.
+LIST_BYTES = 1 << 20
 #: Trigrams of an alternative whose postings are read: the rarest.
 RAREST = 3
 #: Blocks named in the filter of the scan; more are found by a join.
@@ -47,16 +50,27 @@ OTHER = "\u0001"
 Need = list[frozenset[str]]
 
 
-def fold(text: Column) -> Column:
-    small = F.translate(text, UPPER + "".join(CASED), UPPER.lower() + "".join(CASED.values()))
-    return F.regexp_replace(small, r"[^\x00-\x7F]", OTHER)
-
-
 def _fold(text: str) -> str:
     small = "".join(CASED.get(c, c.lower() if c in UPPER else c) for c in text)
     return re.sub(r"[^\x00-\x7F]", OTHER, small)
 
 
+def _fold_bytes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``_fold`` of UTF-8 bytes, one byte a character, and the places that the characters begin at."""
+    small = np.arange(256, dtype=np.uint8)
+    small[[ord(c) for c in UPPER]] = [ord(c) for c in UPPER.lower()]
+    small[0x80:] = ord(OTHER)
+    out, at = small[text], np.flatnonzero(text & 0xC0 != 0x80)
+    leads = at[text[at] > 0xC1]
+    for char, letter in CASED.items():
+        first, *rest = char.encode()
+        met = leads[text[leads] == first]
+        for i, byte in enumerate(rest, 1):
+            met = met[text[met + i] == byte]
+        out[met] = ord(letter)
+    return out[at], at
+
+
 def _trigrams(text: str) -> frozenset[str]:
     return frozenset(text[i : i + 3] for i in range(len(text) - 2))
 
@@ -150,6 +164,44 @@ def _block_of(starts: list[int]):
     return lambda key: run(F.coalesce(key.cast("long"), F.lit(-(1 << 63))))
 
 
+POSTINGS = "gram string, block long, rows array<int>"
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of each trigram of the texts (block, row, text), for about LIST_BYTES of rows of
+    one block at a time."""
+    for batch in batches:
+        blocks = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        rows = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int32)
+        text = batch.column(2).cast(pa.large_string())
+        ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+        start = 0
+        while start < len(batch):
+            others = np.flatnonzero(blocks[start:] != blocks[start])
+            stop = start + int(others[0]) if len(others) else len(batch)
+            stop = min(stop, max(start + 1, int(np.searchsorted(ends, ends[start] + LIST_BYTES, "right")) - 1))
+            chars, at = _fold_bytes(np.frombuffer(text.buffers()[2] or b"", np.uint8)[ends[start] : ends[stop]])
+            if len(chars) > 2:
+                row = np.repeat(np.arange(stop - start, dtype=np.int32), np.diff(ends[start : stop + 1]))[at]
+                met = chars[:-2].astype(np.int64)
+                for shift, part in ((8, chars[1:-1]), (8, chars[2:]), (32, row[:-2])):
+                    met <<= shift
+                    met |= part
+                met = met[row[:-2] == row[2:]]
+                met.sort()
+                met = met[np.flatnonzero(np.diff(met, prepend=-1))]
+                codes, found = met >> 32, rows[start + (met & 0xFFFFFFFF)]
+                first = np.flatnonzero(np.diff(codes, prepend=-1))
+                grams = np.stack([codes[first] >> 16, codes[first] >> 8 & 255, codes[first] & 255], axis=1).astype(np.uint8)
+                names = pa.StringArray.from_buffers(
+                    len(first), pa.py_buffer(np.arange(0, 3 * len(first) + 1, 3, np.int32).tobytes()), pa.py_buffer(grams.tobytes())
+                )
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(met)), pa.int32()), pa.array(found, pa.int32()))
+                block = pa.array(np.full(len(first), blocks[start]), pa.int64())
+                yield pa.RecordBatch.from_arrays([names, block, lists], ["gram", "block", "rows"])
+            start = stop
+
+
 @dataclass(frozen=True)
 class TextIndex:
     """Folders of the rows by block, of the postings by trigram and of their counts."""
@@ -171,11 +223,10 @@ class TextIndex:
         placed = df.withColumn("_block", _block_of(starts)(F.col("seq"))).repartition("_block")
         row = F.row_number().over(Window.partitionBy("_block").orderBy("seq")) - 1
         placed.withColumn("_row", row).select(*df.columns, "_block", "_row").write.option("compression", "zstd").partitionBy("_block").parquet(index.rows)
-        rows = spark.read.parquet(index.rows).select("_block", "_row", "text")
-        grams = F.array_distinct(F.regexp_extract_all(fold(F.col("text")), F.lit("(?s)(?=(.{3}))"), 1))
-        lists = rows.select(F.col("_block").cast("long").alias("block"), "_row", F.explode(grams).alias("gram")).groupBy("gram", "block").agg(
-            F.sort_array(F.collect_list("_row")).alias("rows")  # at most a block
+        rows = spark.read.parquet(index.rows).select(
+            F.col("_block").cast("long"), "_row", F.coalesce(F.make_valid_utf8("text"), F.lit("")).alias("text")
         )
+        lists = rows.mapInArrow(_lists, POSTINGS)  # in the memory of a batch, however large a block is
         lists.repartitionByRange("gram", "block").sortWithinPartitions("gram", "block").write.parquet(index.postings)
         counts = spark.read.parquet(index.postings).groupBy("gram").agg(F.sum(F.size("rows")).alias("n"))
         counts.repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(index.counts)
@@ -193,7 +244,7 @@ class TextIndex:
         lists = spark.read.parquet(self.postings).filter(F.col("gram").isin(read))
         none = F.array().cast("array<int>")
         wide = lists.groupBy("block").agg(*[
-            F.coalesce(F.first(F.when(F.col("gram") == g, F.col("rows")), ignorenulls=True), none).alias(f"g{i}")
+            F.flatten(F.collect_list(F.when(F.col("gram") == g, F.col("rows")))).alias(f"g{i}")  # at most a block
             for i, g in enumerate(read)
         ])
         met = none
