@@ -330,6 +330,16 @@ def test_quality_measures(spark):
     assert {r.k: r.score for r in sweep.collect()}[3] == pytest.approx(np.mean(s), abs=1e-9)
 
 
+def test_pair_distances_equal_the_plain_formula():
+    """Bit by bit; rows of one number have no distance, rows without a number do."""
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(600, 4)), rng.normal(size=(500, 4))
+    a_seq, b_seq = rng.integers(0, 300, 600).astype(float), np.append(rng.integers(200, 900, 499).astype(float), np.nan)
+    want = np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T), 0.0))
+    want[a_seq[:, None] == b_seq[None, :]] = 0.0
+    assert (want == 0).any() and (evaluate._pair_distances(a, b, a_seq, b_seq) == want).all()
+
+
 def test_silhouettes_of_many_labelings(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(70, 4)).astype(np.float32)
